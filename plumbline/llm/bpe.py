@@ -22,8 +22,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,10 +44,26 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Piece(NamedTuple):
+    """An encoded stretch: how many ids, their decimals joined by commas, the bytes they decode to."""
+
+    count: int
+    decimals: bytes
+    decoded: bytes
+
+
+def joined(pieces: list[Piece]) -> Piece:
+    full = [p for p in pieces if p[0]]
+    if not full:
+        return Piece(0, b"", b"")
+    count, decimals, decoded = zip(*full)
+    return Piece(sum(count), b",".join(decimals), b"".join(decoded))
+
+
 class ChunkCodec:
     """Encodes and decodes texts with a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, chunk_memory: int = 40_000, unit_memory: int = 300_000):
+    def __init__(self, path: str, chunk_memory: int = 20_000, unit_memory: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -55,34 +71,58 @@ class ChunkCodec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         symbols, special = byte_of_symbol(), self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in special.values()]
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = token.encode() if i in special else bytes(symbols[c] for c in token)
         self.chunks: dict[bytes, tuple] = {}
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, Piece] = {}
+        self.older: dict[str, Piece] = {}
         self.chunk_memory, self.unit_memory = chunk_memory, unit_memory
         self.encoded_chunks = self.met_chunks = 0
 
-    def encode_units(self, units: list[str]) -> list[int]:
-        """The ids of a stretch that starts and ends at sure boundaries (or the text's ends), unit by unit."""
+    def raw(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The decoded text as UTF-8; bytes that are no UTF-8 become replacement characters, as in the library."""
+        return self.raw(ids).decode("utf-8", "replace").encode()
+
+    def encode_units(self, units: list[str]) -> Piece:
+        """A stretch that starts and ends at sure boundaries (or the text's ends), unit by unit."""
         known = self.units
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if new:
-            if len(known) + len(new) > self.unit_memory:
-                known.clear()
-                new = list(dict.fromkeys(units))
-            for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[u] = e.ids
-        ids: list[int] = []
-        for u in units:
-            ids += known[u]
-        return ids
+        try:
+            return joined([known[u] for u in units])
+        except KeyError:
+            pass
+        if len(known) > self.unit_memory:  # a generation is full: what is met again moves to the next
+            self.older, self.units = known, {}
+            known = self.units
+        new, ends = [], {}
+        for u in dict.fromkeys(units):
+            if u in known:
+                continue
+            if u in self.older:
+                known[u] = self.older[u]
+                continue
+            core = u.rstrip(",.;:!?")
+            if core != u and core and core[-1] < "\u0250" and core[-1].isalpha():
+                # letters end a pre-token where punctuation begins: both sides are encoded alone
+                ends[u] = core, u[len(core) :]
+                new += [x for x in ends[u] if x not in known]
+            else:
+                new.append(u)
+        new = list(dict.fromkeys(new))
+        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            ids = e.ids
+            known[u] = Piece(len(ids), ",".join(map(str, ids)).encode(), self.raw(ids))
+        for u, (core, end) in ends.items():
+            known[u] = joined([known[core], known[end]])
+        return joined([known[u] for u in units])
 
     def encode_chunk(self, chunk: str) -> tuple:
-        """(head, ids, tail): ids of all between the first and the last sure boundary inside the chunk.
+        """(head, piece, tail): what lies between the first and the last sure boundary inside the chunk, encoded.
 
-        A chunk with fewer than two sure boundaries is all head, with ids None.
+        A chunk with fewer than two sure boundaries is all head, without a piece.
         """
         units = UNIT.findall(chunk)
         # the last unit may go on in the next chunk, the first may have begun in the last one
@@ -90,13 +130,11 @@ class ChunkCodec:
             return chunk, None, ""
         return units[0], self.encode_units(units[1:-1]), units[-1]
 
-    def encode(self, text: bytes) -> list[int]:
-        if not text:
-            return []
-        ids: list[int] = []
+    def encode_piece(self, text: bytes) -> Piece:
+        pieces: list[Piece] = []
         open_ = ""  # text since the last sure boundary, not encoded yet
         last = 0
-        for cut in cut_points(text, shortest=256, bits=8, longest=4096):
+        for cut in cut_points(text, shortest=512, bits=8, longest=4096):
             while cut < len(text) and text[cut] & 0xC0 == 0x80:  # not inside a character
                 cut += 1
             if cut <= last:
@@ -115,35 +153,46 @@ class ChunkCodec:
             if inner is None:
                 continue  # no sure boundary yet: the stretch grows
             # Repair: the stretch across the join, encoded anew between two sure boundaries.
-            ids += self.encode_units(UNIT.findall(open_))
-            ids += inner
+            pieces.append(self.encode_units(UNIT.findall(open_)))
+            pieces.append(inner)
             open_ = tail
-        return ids + self.encode_units(UNIT.findall(open_)) if open_ else ids
+        if open_:
+            pieces.append(self.encode_units(UNIT.findall(open_)))
+        return joined(pieces)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The decoded text as UTF-8; bytes that are no UTF-8 become replacement characters, as in the library."""
-        data = b"".join(map(self.bytes.__getitem__, ids))
-        return data.decode("utf-8", "replace").encode()
+    def encode(self, text: bytes) -> list[int]:
+        decimals = self.encode_piece(text).decimals
+        return list(map(int, decimals.split(b","))) if decimals else []
+
+
+_codecs: dict[str, ChunkCodec] = {}
+
+
+def codec_of(path: str) -> ChunkCodec:
+    """A worker's codec: its memories outlive a task, so that later tasks meet known chunks."""
+    if path not in _codecs:
+        _codecs[path] = ChunkCodec(path)
+    return _codecs[path]
 
 
 def encode_documents(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with texts, also ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(path)
+        codec = codec_of(path)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 n, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
                 for text in C.texts_of(part.column(1)):
-                    ids = codec.encode(text)
-                    back = codec.decode(ids)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(back).hexdigest())
+                    piece = codec.encode_piece(text)
+                    back = piece.decoded.decode("utf-8", "replace")
+                    n.append(piece.count)
+                    ids_sha.append(hashlib.sha256(piece.decimals).hexdigest())
+                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                     if texts:
-                        all_ids.append(np.array(ids, np.int32))
-                        decoded.append(back.decode())
+                        all_ids.append(list(map(int, piece.decimals.split(b","))) if piece.count else [])
+                        decoded.append(back)
                 cols = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
                 yield pa.record_batch(cols | ({"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())} if texts else {}))
 
