@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import common as C
@@ -173,30 +174,37 @@ def _ids(rows) -> np.ndarray:
     return np.array([C.NO_ID if i is None else i for i, _ in rows], np.int64)
 
 
-def first_holders(keys: np.ndarray, contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each context, the smallest document that has each of its WIDTH-byte strings.
+def first_holders(keys: np.ndarray, contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document that has each WIDTH-byte string of the contexts, one after another, and where each context's begin.
 
     Contexts of one key that differ are sorted by their suffixes; equal contexts were merged before.
     """
-    out = [np.full(len(c) - WIDTH + 1, d, np.int64) for c, d in zip(contexts, docs.tolist())]
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    counts = sizes - WIDTH + 1
+    begins = np.concatenate(([0], np.cumsum(counts)))
+    best = np.repeat(docs, counts)
     order = np.argsort(keys, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(keys[order])) + 1)
-    mixed = [int(c) for group in groups if len(group) > 1 for c in group]
-    if not mixed:
-        return out
-    text = b"".join(contexts[c] for c in mixed)
-    counts = np.array([len(out[c]) for c in mixed])
-    begin = np.cumsum([0] + [len(contexts[c]) for c in mixed[:-1]])
-    of = np.repeat(np.arange(len(mixed)), counts)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    held = docs[mixed][of]
-    best = held.copy()
-    for members in deep_shallow_sort(text, begin[of] + offset):
-        if len(members) > 1:
-            best[members] = held[members].min()
-    for c, part in zip(mixed, np.split(best, np.cumsum(counts)[:-1])):
-        out[c] = part
-    return out
+    k = keys[order]
+    alone = np.ones(len(k) + 1, bool)
+    alone[1:-1] = k[1:] != k[:-1]
+    mixed = np.sort(order[~(alone[:-1] & alone[1:])])
+    if len(mixed):
+        text = b"".join([contexts[c] for c in mixed.tolist()])
+        n = counts[mixed]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begins[:-1][mixed], n) + offset
+        held = best[at]
+        starts = np.repeat(np.cumsum(sizes[mixed]) - sizes[mixed], n) + offset
+        for members in deep_shallow_sort(text, starts):
+            if len(members) > 1:
+                at_members = at[members]
+                best[at_members] = held[members].min()
+    return best, begins
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... (count[0] numbers), then start[1], ..."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def remove_repeated_strings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -239,17 +247,17 @@ def remove_repeated_strings(docs: DataFrame, keep_text: bool = False) -> DataFra
                     one[1] = min(one[1], int(ids[r]))
                     ctx.append(one[0])
                 texts = [c for _, c in seen]
-                out.append((b, g, np.array([x for x, _ in seen], np.uint64).tobytes(), np.array([len(c) for c in texts], np.int32).tobytes(), np.array([x[1] for x in seen.values()], np.int64).tobytes(), b"".join(texts), row[wanted[at]].astype(np.int32).tobytes(), np.array(ctx, np.int32).tobytes(), start[wanted[at]].astype(np.int64).tobytes()))
+                out.append((b, g, C.pack48(np.array([x for x, _ in seen], np.uint64)), np.array([len(c) for c in texts], np.int32).tobytes(), np.array([x[1] for x in seen.values()], np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), row[wanted[at]].astype(np.int32).tobytes(), np.array(ctx, np.int32).tobytes(), start[wanted[at]].astype(np.int32).tobytes()))
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
     def sort(table: pa.Table) -> pa.Table:
         asks, place = [], {}
         keys, docs_, texts = [], [], []
         for x in table.to_pylist():
-            k, lens, d = np.frombuffer(x["keys"], np.uint64), np.frombuffer(x["lens"], np.int32).tolist(), np.frombuffer(x["docs"], np.int64)
-            at, to = 0, []
+            k, lens, d = C.unpack48(x["keys"]), np.frombuffer(x["lens"], np.int32).tolist(), np.frombuffer(x["docs"], np.int64)
+            data, at, to = zstandard.ZstdDecompressor().decompress(x["data"]), 0, []
             for key, n, doc in zip(k.tolist(), lens, d.tolist()):
-                text = x["data"][at : at + n]
+                text = data[at : at + n]
                 at += n
                 p = place.setdefault((key, text), len(place))
                 if p == len(keys):
@@ -259,22 +267,24 @@ def remove_repeated_strings(docs: DataFrame, keep_text: bool = False) -> DataFra
                 elif doc < docs_[p]:
                     docs_[p] = doc
                 to.append(p)
-            asks.append((x["g"], np.array(to), np.frombuffer(x["rows"], np.int32), np.frombuffer(x["ctx"], np.int32), np.frombuffer(x["starts"], np.int64)))
+            asks.append((x["g"], np.array(to), np.frombuffer(x["rows"], np.int32), np.frombuffer(x["ctx"], np.int32), np.frombuffer(x["starts"], np.int32).astype(np.int64)))
         del place
-        first = first_holders(np.array(keys, np.uint64), texts, np.array(docs_, np.int64))
-        # runs of strings with one first holder
-        runs = []
-        for f in first:
-            cut = np.concatenate(([0], np.flatnonzero(f[1:] != f[:-1]) + 1, [len(f)]))
-            runs.append((f[cut[:-1]], cut[:-1], cut[1:]))
+        best, begins = first_holders(np.array(keys, np.uint64), texts, np.array(docs_, np.int64))
+        # runs of strings with one first holder, within contexts
+        new = np.ones(len(best), bool)
+        new[1:] = best[1:] != best[:-1]
+        new[begins[:-1]] = True
+        run = np.flatnonzero(new)
+        end = np.append(run[1:], len(best))
+        first_run = np.searchsorted(run, begins[:-1])
+        n_runs = np.diff(np.append(first_run, len(run)))
         out = []
         for g, to, r, ctx, s in asks:
-            of = to[ctx].tolist()
-            n = [len(runs[c][0]) for c in of]
-            holder = np.concatenate([runs[c][0] for c in of])
-            a = np.concatenate([runs[c][1] for c in of]) + np.repeat(s, n)
-            b = np.concatenate([runs[c][2] for c in of]) + np.repeat(s, n)
-            out.append((g, np.stack([np.repeat(r.astype(np.int64), n), holder, a, b]).tobytes()))
+            of = to[ctx]
+            n = n_runs[of]
+            i = ranges(first_run[of], n)
+            shift = np.repeat(s - begins[:-1][of], n)
+            out.append((g, np.stack([np.repeat(r.astype(np.int64), n), best[run[i]], run[i] + shift, end[i] + shift]).tobytes()))
         return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
