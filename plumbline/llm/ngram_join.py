@@ -1,73 +1,85 @@
 """N-gram Jaccard join: documents whose word-shingle sets reach a similarity, by T-occurrence search.
 
-1. Each text becomes its set of 64-bit shingle hashes; texts of equal sets form a class, of
-   which the smallest doc_id goes on.
-2. A fixed table of counters (2**20, over all documents) orders shingles rare first. By the
-   prefix theorem two sets that reach the threshold share at least l of the first
-   n - ceil(t n) + l shingles of that order; l is a tenth of the set.
-3. Inverted lists of these shingles are kept where two classes or more have them; a
-   document with fewer than l such lists has no partner and goes, again and again.
-4. DivideSkip: each document sets its l - 1 longest lists aside. What it must share lies in
-   the others, so only these name candidates: first one pivot a document, then, where
-   labels still differ, every group of documents that shares enough lists with the other.
-   A group is searched with the inverted lists of its whole sets: the short lists are
-   heap-merged, the long ones probed by bisection, and documents with the needed overlap stay.
+1. Texts that are equal form a class, of which the smallest doc_id goes on.
+2. By the prefix theorem two sets that reach the threshold t share at least l of the first
+   n - ceil(t n) + l shingles of any order; here l is a tenth of the set, the order that of
+   the hashes. Groups of documents ask which of these other documents have, and send a
+   shingle once a group. A document with too few shared ones has no partner and goes.
+3. What is left asks how many of these documents have each of its shingles. Shingles that
+   no other has count as missed; a document that misses more than n - ceil(t n) goes. The
+   n - ceil(t n) + 1 rarest shingles of each document name its inverted lists; documents
+   that lists connect form a cluster.
+4. Each cluster is searched by DivideSkip: of a document's lists the needed - 1 longest
+   stay aside, the short ones are heap-merged, and members that occur in them are counted
+   on by bisection in the long ones until they reach the overlap or cannot any more.
+   Members that are known to be connected are not probed again. A cluster of more than
+   `block` documents is split into blocks, each searched against each.
 5. Components of the links, by hooking and jumping over DataFrames.
 
-No list is expanded into pairs; a hot list costs rows in proportion to its documents.
-Groups beyond `block` documents are split into blocks that are searched one against another.
+No list is expanded into pairs, and what a group or cell holds is bounded.
 
 Defined cases: null and blank texts have empty sets and link with nothing; a null doc_id
-links with nothing and has a null component; rows of one doc_id are one node; an empty
-table gives no rows. Hashes have 64 bits: sets differ from their texts' with a chance of
-about (distinct shingles of two texts)**2 / 2**65 a pair.
+counts as the largest id; rows of one doc_id are one node; an empty table gives no rows.
+Shingles are hashed to 48 bits: the overlap of two sets is wrong with a chance of about
+|x| |y| / 2**48.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import common as C
 from .components import components
 
-SLOTS = 1 << 20
-SLICES = 64
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9], np.uint64)
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+BASE = 0x9DDFEA08EB382D69
+MASK = np.uint64((1 << 48) - 1)
+WORD_BYTE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered; a full memory is emptied, so that it stays bounded."""
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, as many as the longest text so far needs."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def reach(self, n: int) -> None:
+        while len(self.up) < n:
+            m = len(self.up)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(BASE, m, 1 << 64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(BASE, -m, 1 << 64))))
 
-def shingle_set(text: bytes, k: int, memo: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct k-word shingles of a text: A-Z lowered, words between blanks 0x20 and 0x09-0x0D."""
-    words = text.lower().split()
-    n = len(words)
+
+POWERS = Powers()
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted 48-bit hashes of the distinct k-word shingles of a text: A-Z lowered, words between blanks 0x20 and 0x09-0x0D.
+
+    A word's hash is a polynomial of its bytes' random words, from prefix sums over the text.
+    """
+    data = np.frombuffer(text.lower(), np.uint8)
+    start, end = C.spans_of(WORD_BYTE[data])
+    n = len(start)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    POWERS.reach(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(C.GEAR[data] * POWERS.up[: len(data)], out=sums[1:])
+    w = C.mixed((sums[end] - sums[start]) * POWERS.down[start])
     size = min(k, n)
     h = np.full(n - size + 1, size, np.uint64)
     for j in range(size):
         h = (h + w[j : n - size + 1 + j]) * ODD[j % len(ODD)]
         h ^= h >> np.uint64(29)
-    return np.unique(C.mixed(h))
+    return np.unique(C.mixed(h) & MASK)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -79,207 +91,216 @@ def lists_needed(n: int) -> int:
     return 1 + n // 10
 
 
-def ordered_prefix(h: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+def first_shingles(h: np.ndarray, percent: int) -> np.ndarray:
     n = len(h)
-    order = np.argsort(levels[(h & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
-    return h[order[: n - least_overlap(n, percent) + lists_needed(n)]]
-
-
-def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """For each slot of the counter table, by how many octaves its count exceeds the mean: 2**20 bytes at any size of docs."""
+    return h[: n - least_overlap(n, percent) + lists_needed(n)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = WordHashes(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for text in C.texts_of(batch.column(0)):
-                slots = (shingle_set(text, k, memo) & np.uint64(SLOTS - 1)).astype(np.int64)
-                # a set's hashes seldom share a slot; one that does counts once
-                total[slots] += 1
-        parts = [zlib.compress(p.astype(np.int32).tobytes(), 1) for p in np.split(total, SLICES)]
-        yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "payload": pa.array(parts, pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(p), np.int32).astype(np.int64) for p in table.column("payload").to_pylist())
-        return pa.table({"slice": table.column("slice")[:1], "payload": pa.array([total.tobytes()], pa.binary())})
+def t_occurrence(own: list[np.ndarray], needed: int, skip) -> np.ndarray:
+    """Members that occur in at least `needed` of the sorted lists `own` (T-occurrence by DivideSkip).
 
-    parts = docs.select("text").mapInArrow(count, "slice int, payload binary").groupBy("slice").applyInArrow(add, "slice int, payload binary").collect()
-    total = np.concatenate([np.frombuffer(r.payload, np.int64) for r in sorted(parts)]) if parts else np.zeros(SLOTS, np.int64)
-    return np.clip(np.log2(np.maximum(total, 1) / max(total.mean(), 1)), 0, 255).astype(np.uint8)
-
-
-def divide_skip(query: np.ndarray, lists: dict[int, list[int]], needed: int) -> list[int]:
-    """Members that occur in at least `needed` of the lists of the query's elements (T-occurrence, DivideSkip).
-
-    The longest needed - 1 lists at most are set aside; members that occur in the others at
-    least needed - (lists aside) times are counted on by bisection in the long lists.
+    The needed - 1 longest lists are set aside; the others are heap-merged, and what occurs
+    there is counted on by bisection in the long ones. skip(members): which of them need no answer.
     """
-    own = sorted((l for e in query.tolist() if (l := lists.get(e))), key=len)
     if len(own) < needed:
-        return []
-    # as many long lists as pay: beyond it, more members would have to be probed in them
-    aside = min(needed - 1, len(own) - 1)
-    short, long = own[: len(own) - aside], own[len(own) - aside :]
-    least, out = needed - aside, []
-    last, count = None, 0
-
-    def settle(member: int, count: int) -> None:
-        if count < least:
-            return
-        for i, l in enumerate(long):
-            p = bisect_left(l, member)
-            if p < len(l) and l[p] == member:
-                count += 1
-            if count >= needed or count + len(long) - i - 1 < needed:
-                break
-        if count >= needed:
-            out.append(member)
-
-    for m in heapq.merge(*short):
-        if m != last:
-            if last is not None:
-                settle(last, count)
-            last, count = m, 0
-        count += 1
-    if last is not None:
-        settle(last, count)
-    return out
-
-
-def inverted(sets: list[np.ndarray]) -> dict[int, list[int]]:
-    lists: dict[int, list[int]] = {}
-    for m, s in enumerate(sets):
-        for e in s.tolist():
-            lists.setdefault(e, []).append(m)
-    return lists
-
-
-def similar(x: int, y: int, both: int, percent: int) -> bool:
-    return 100 * both >= percent * (x + y - both)
-
-
-def search(queries: list[np.ndarray], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """(query, member) whose sets reach the threshold."""
-    lists = inverted(sets)
-    sizes = [len(s) for s in sets]
-    for q, s in enumerate(queries):
-        for m in divide_skip(s, lists, least_overlap(len(s), percent)):
-            if similar(len(s), sizes[m], len(np.intersect1d(s, sets[m], assume_unique=True)), percent):
+        return np.empty(0, np.int64)
+    own = sorted(own, key=len)
+    short, long = own[: len(own) - needed + 1], own[len(own) - needed + 1 :]
+    merged = np.fromiter(heapq.merge(*[l.tolist() for l in short]), np.int64)
+    new = np.ones(len(merged), bool)
+    new[1:] = merged[1:] != merged[:-1]
+    at = np.flatnonzero(new)
+    members, count = merged[at], np.diff(np.append(at, len(merged)))
+    keep = ~skip(members)
+    members, count = members[keep], count[keep]
+    for i, l in enumerate(long):
+        keep = count + (len(long) - i) >= needed
+        if not keep.all():
+            members, count = members[keep], count[keep]
+        if not len(members):
+            break
+        p = np.searchsorted(l, members)
+        p[p == len(l)] = 0
+        count = count + (l[p] == members)
+    return members[count >= needed]
+
+
+class Forest:
+    """Roots of members, kept flat enough for arrays of lookups."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        r = self.parent[members]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                return r
+            r = up
+
+    def join(self, a: int, b: int) -> None:
+        a, b = int(self.roots(np.array([a]))[0]), int(self.roots(np.array([b]))[0])
+        self.parent[max(a, b)] = min(a, b)
+
+
+def connect(sets: list[np.ndarray], sizes: np.ndarray, asks: np.ndarray, answers: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (member, member) that connect whatever similar members of asks and answers connect; not all links.
+
+    sets: the shared shingles of each member, sizes: how many it has in all.
+    """
+    every = np.concatenate([sets[m] for m in answers])
+    of = np.repeat(answers, [len(sets[m]) for m in answers])
+    order = np.lexsort((of, every))
+    every, of = every[order], of[order]
+    cut = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    keys, bounds = every[cut], np.append(cut, len(every))
+    forest = Forest(len(sets))
+    for q in asks.tolist():
+        p = np.searchsorted(keys, sets[q])
+        p[p == len(keys)] = 0
+        p = p[keys[p] == sets[q]]
+        own = [of[bounds[i] : bounds[i + 1]] for i in p.tolist()]
+        mine = forest.roots(np.array([q]))[0]
+        found = t_occurrence(own, least_overlap(int(sizes[q]), percent), lambda m: forest.roots(m) == mine)
+        for m in found.tolist():
+            if forest.roots(np.array([m]))[0] == forest.roots(np.array([q]))[0]:
+                continue
+            both = len(np.intersect1d(sets[q], sets[m], assume_unique=True))
+            if 100 * both >= percent * (int(sizes[q]) + int(sizes[m]) - both):
+                forest.join(q, m)
                 yield q, m
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, prefix (hashes) for each row."""
-    levels = shingle_levels(docs, k)
+def _texts(table: pa.Table) -> list[tuple[int, bytes, bytes]]:
+    """(doc, digest of the text, text), a row for each distinct pair of the first two."""
+    out = {}
+    for i, t in zip(table.column("doc_id").to_pylist(), C.texts_of(table.column("text"))):
+        out[C.NO_ID if i is None else i, hashlib.md5(t).digest()] = t
+    return [(i, d, t) for (i, d), t in sorted(out.items())]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            n, digest, prefix = [], [], []
-            for text in C.texts_of(batch.column(1)):
-                h = shingle_set(text, k, memo)
-                n.append(len(h))
-                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
-                prefix.append(ordered_prefix(h, levels, percent).tobytes() if len(h) else b"")
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
 
-    return C.staged(docs.mapInArrow(sign, "doc_id long, n long, digest binary, prefix binary"), "signatures")
-
-
-def shared_lists(classes: DataFrame, groups: int) -> DataFrame:
-    """(h, doc, n): the inverted lists of prefix shingles that two classes or more have."""
+def candidate_sets(docs: DataFrame, classes: DataFrame, groups: int, k: int, percent: int) -> DataFrame:
+    """digest, doc, n for each class, and keys: all its shingles if it may have a partner, else null."""
+    buckets = max(1, groups // 2)
+    by = C.grouped(docs, groups).groupBy("g")
+    g = F.pmod(F.xxhash64(F.when(F.col("doc") != C.NO_ID, F.col("doc"))), F.lit(groups)).cast("int").alias("g")
+    named = classes.select(g, F.lit(True).alias("named"), F.concat(F.unhex(F.lpad(F.hex("doc"), 16, "0")), "digest").alias("payload"))
+
+    def own(table: pa.Table, side: pa.Table) -> list[tuple[int, bytes, np.ndarray]]:
+        names = {p for p, is_name in zip(side.column("payload").to_pylist(), side.column("named").to_pylist()) if is_name}
+        return [(i, d, shingle_set(t, k)) for i, d, t in _texts(table) if i.to_bytes(8, "big") + d in names]
+
+    def ask(table: pa.Table, side: pa.Table) -> pa.Table:
+        parts = [first_shingles(h, percent) for _, _, h in own(table, side)] if table.num_rows else []
+        return C.ask_keys(table.column("g")[0].as_py() if parts else 0, np.concatenate([np.empty(0, np.uint64), *parts]), buckets)
+
+    def keep(table: pa.Table, side: pa.Table) -> pa.Table:
+        rows = own(table, side) if table.num_rows else []
+        first = [first_shingles(h, percent) for _, _, h in rows]
+        every, count = np.unique(np.concatenate([np.empty(0, np.uint64), *first]), return_counts=True)
+        told = [C.unpack48(p) for p, is_name in zip(side.column("payload").to_pylist(), side.column("named").to_pylist()) if not is_name]
+        known = np.unique(np.concatenate([every[count > 1], *told]))
+        keys = []
+        for (_, _, h), f in zip(rows, first):
+            p = np.searchsorted(known, f)
+            p[p == len(known)] = 0
+            shared = int((known[p] == f).sum()) if len(known) else 0
+            # a partner has least_overlap(n) elements or more, and shares as many lists as that size asks for
+            keys.append(C.pack48(h) if len(h) and shared >= lists_needed(least_overlap(len(h), percent)) else None)
+        return pa.table({"digest": pa.array([d for _, d, _ in rows], pa.binary()), "doc": pa.array([i for i, _, _ in rows], pa.int64()), "n": pa.array([len(h) for _, _, h in rows], pa.int64()), "keys": pa.array(keys, pa.binary())})
+
+    asked = by.cogroup(named.groupBy("g")).applyInArrow(ask, "bucket int, g int, payload binary")
+    told = asked.groupBy("bucket").applyInArrow(C.shared_keys, "g int, payload binary").select("g", F.lit(False).alias("named"), "payload")
+    return by.cogroup(told.unionByName(named).groupBy("g")).applyInArrow(keep, "digest binary, doc long, n long, keys binary")
+
+
+def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
+    """doc, n, keys that other documents of sets have too, and lists (longs): the rarest, that any partner shares one of."""
     buckets = max(1, groups // 2)
-    mask = np.uint64((1 << 48) - 1)
-    by = classes.select("doc", "n", "prefix", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int").alias("g")).groupBy("g")
+    by = sets.select("doc", "n", "keys", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int").alias("g")).groupBy("g")
 
-    def prefixes(table: pa.Table) -> list[np.ndarray]:
-        return [np.unique(np.frombuffer(p, np.uint64) & mask) for p in table.column("prefix").to_pylist()]
+    def counts_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        keys = [C.unpack48(p) for p in table.column("keys").to_pylist()]
+        return keys, *np.unique(np.concatenate(keys), return_counts=True)
 
     def ask(table: pa.Table) -> pa.Table:
-        return C.ask_keys(table.column("g")[0].as_py(), np.concatenate(prefixes(table)), buckets)
+        g = table.column("g")[0].as_py()
+        _, keys, count = counts_of(table)
+        out = [(b, C.pack48(keys[i]) + count[i].astype("<u4").tobytes()) for b, i in C.by_bucket(keys, buckets)]
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "g": pa.array([g] * len(out), pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
+
+    def split(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(payload) // 10
+        return C.unpack48(payload[: 6 * n]), np.frombuffer(payload[6 * n :], "<u4").astype(np.int64)
+
+    def answer(table: pa.Table) -> pa.Table:
+        gs, parts = table.column("g").to_pylist(), [split(p) for p in table.column("payload").to_pylist()]
+        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
+        out, at = [], 0
+        for g, (k, _) in zip(gs, parts):
+            t = total[place[at : at + len(k)]]
+            at += len(k)
+            if (t > 1).any():
+                out.append((g, C.pack48(k[t > 1]) + np.minimum(t[t > 1], (1 << 32) - 1).astype("<u4").tobytes()))
+        return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     def keep(table: pa.Table, told: pa.Table) -> pa.Table:
-        sets = prefixes(table)
-        every, count = np.unique(np.concatenate(sets), return_counts=True)
-        known = np.unique(np.concatenate([every[count > 1], *map(C.unpack48, told.column("payload").to_pylist())]))
-        found = [s[np.isin(s, known, assume_unique=True)] for s in sets]
-        sizes = [len(f) for f in found]
-        return pa.table({"h": pa.array(np.concatenate(found).view(np.int64), pa.int64()), "doc": pa.array(np.repeat(table.column("doc").to_numpy(), sizes), pa.int64()), "n": pa.array(np.repeat(table.column("n").to_numpy(), sizes), pa.int64())})
-
-    told = by.applyInArrow(ask, "bucket int, g int, payload binary").groupBy("bucket").applyInArrow(C.shared_keys, "g int, payload binary")
-    return by.cogroup(told.groupBy("g")).applyInArrow(keep, "h long, doc long, n long")
-
-
-def peeled(lists: DataFrame, percent: int) -> DataFrame:
-    """lists without the documents that have too few of them to have a partner, and with size, the length of a list."""
-    while True:
-        sizes = lists.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-        # a partner has at least percent/100 of n elements, and so needs as many lists as that size asks for
-        enough = lists.join(sizes, "h", "left_semi").groupBy("doc").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.expr(f"c >= 1 + floor(ceil({percent} * n / 100) / 10)"))
-        fewer = C.staged(lists.join(enough, "doc", "left_semi").join(sizes, "h"), "lists")
-        before, after = lists.count(), fewer.count()
-        lists = fewer.select("h", "doc", "n")
-        if after > 0.8 * before or not after:
-            return fewer
-
-
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
+        out: dict[str, list] = {"doc": [], "n": [], "keys": [], "lists": []}
+        parts = [split(p) for p in told.column("payload").to_pylist()]
+        if parts and table.num_rows:
+            keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            for doc, n, packed in zip(table.column("doc").to_pylist(), table.column("n").to_pylist(), table.column("keys").to_pylist()):
+                own = C.unpack48(packed)
+                p = np.searchsorted(keys, own)
+                p[p == len(keys)] = 0
+                shared = keys[p] == own
+                own, c = own[shared], counts[p[shared]]
+                more = len(own) - least_overlap(n, percent) + 1  # as many of the rarest; the unshared are rarer
+                if more > 0:
+                    for k, v in zip(out, (doc, n, C.pack48(own), own[np.lexsort((own, c))[:more]].view(np.int64))):
+                        out[k].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+
+    told = by.applyInArrow(ask, "bucket int, g int, payload binary").groupBy("bucket").applyInArrow(answer, "g int, payload binary")
+    return by.cogroup(told.groupBy("g")).applyInArrow(keep, "doc long, n long, keys binary, lists array<long>")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets.
     """
     docs = C.id_text(docs)
-    marks = signatures(docs, k, percent)
-    # equal sets have equal prefixes; a class goes by its smallest document
-    classes = C.staged(marks.filter("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")), "classes")
-    lists = peeled(C.staged(shared_lists(classes, C.group_count(docs)), "lists"), percent)
-
-    # DivideSkip over the whole: a document's longest lists stay aside, as many as it can do without
-    spare = F.expr(f"1 + floor(ceil({percent} * n / 100) / 10)") - 1
-    short = C.staged(lists.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), "h"))).filter(F.col("rank") > spare).select("h", "doc", "n"), "short")
-    full = lists.select("h", "doc", "n")
-    texts = C.staged(docs.join(full.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-
-    # First, one pivot a document: of the smallest documents of its lists, that of most lists.
-    least = full.groupBy("h").agg(F.min("doc").alias("pivot"))
-    pivots = short.join(least, "h").filter("pivot < doc").groupBy("doc", "pivot").agg(F.count("*").alias("c")).groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
-    pairs = C.staged(pivots.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("long")), "pivots")
-    share = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = pairs.join(share, "pivot").select("pivot", (F.col("block") % F.col("blocks")).alias("block"), F.col("doc").alias("doc_id"), F.lit(False).alias("asks"))
-    asked = share.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.lit(True).alias("asks"))
+    groups = C.group_count(docs)
+    marks = C.staged(docs.select("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID)).alias("doc"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")), "marks")
+    classes = C.staged(marks.groupBy("digest").agg(F.min("doc").alias("doc")), "classes")
+    found = C.staged(candidate_sets(docs, classes, groups, k, percent), "classsets")
+    sets = C.staged(counted_sets(found.filter("keys is not null"), max(1, groups // 4), percent), "sets")
+
+    lists = C.staged(sets.select("doc", F.explode("lists").alias("h")), "lists")
+    least = lists.groupBy("h").agg(F.min("doc").alias("v"))
+    clusters = components(lists.join(least, "h").select(F.col("doc").alias("u"), "v"))
+    share = clusters.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    members = clusters.join(share, "label").select(F.col("node").alias("doc"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    # of blocks i <= j, i asks and j answers; a block of one cell is both
+    cells = members.withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = C.staged(cells.select("label", F.least("own", "each").alias("i"), F.greatest("own", "each").alias("j"), "own", "doc"), "cells")
 
     def linked(table: pa.Table) -> pa.Table:
-        memo = WordHashes()
-        ids, asks = table.column("doc_id").to_pylist(), table.column("asks").to_pylist()
-        sets = [shingle_set(t, k, memo) for t in C.texts_of(table.column("text"))]
-        left = [i for i, a in enumerate(asks) if a]
-        right = [i for i, a in enumerate(asks) if not a]
-        found = {(ids[left[q]], ids[right[m]]) for q, m in search([sets[i] for i in left], [sets[i] for i in right], percent)}
-        found = sorted(found)
-        return pa.table({"u": pa.array([min(x) for x in found], pa.int64()), "v": pa.array([max(x) for x in found], pa.int64())})
-
-    first = C.staged(placed.unionByName(asked).join(texts, "doc_id").groupBy("pivot", "block").applyInArrow(linked, "u long, v long"), "links")
-    labels = components(first)
-
-    # Then all that still differs: documents that share enough lists with those of another label.
-    labelled = lambda l: l.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    named = C.staged(labelled(full), "named")
-    held = C.staged(named.select("h", F.col("label").alias("other")).distinct(), "held")
-    # A pair of labels is found from either side; its documents that share enough lists with the other label take part.
-    met = labelled(short).join(held, "h").filter("label <> other")
-    pairs = C.staged(met.select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct(), "met")
-    both = pairs.select("a", "b", F.col("a").alias("label"), F.col("b").alias("other")).unionByName(pairs.select("a", "b", F.col("b").alias("label"), F.col("a").alias("other")))
-    sides = named.join(both, "label").join(held, ["h", "other"], "left_semi")
-    enough = sides.groupBy("a", "b", "doc", "label").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.expr(f"c >= 1 + floor(ceil({percent} * n / 100) / 10)"))
-    taking = C.staged(enough.select("a", "b", "doc", (F.col("label") == F.col("a")).alias("asks")), "taking")
-    counts = taking.groupBy("a", "b").agg(F.ceil(F.sum(F.col("asks").cast("long")) / block).alias("of_a"), F.ceil(F.sum((~F.col("asks")).cast("long")) / block).alias("of_b")).filter("of_a > 0 and of_b > 0")
-    salt = F.pmod(F.xxhash64("doc"), F.when(F.col("asks"), F.col("of_a")).otherwise(F.col("of_b")))
-    cells = taking.join(counts, ["a", "b"]).withColumn("own", salt).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("of_b")).otherwise(F.col("of_a")) - 1)))
-    cells = cells.select("a", "b", F.when(F.col("asks"), F.col("own")).otherwise(F.col("each")).alias("i"), F.when(F.col("asks"), F.col("each")).otherwise(F.col("own")).alias("j"), F.col("doc").alias("doc_id"), "asks")
-    second = C.staged(cells.join(texts, "doc_id").groupBy("a", "b", "i", "j").applyInArrow(linked, "u long, v long"), "links")
-    labels = components(first.unionByName(second))
-
-    of_class = C.staged(classes.select("n", "digest", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("n", "digest", F.coalesce("label", "doc").alias("component")), "components")
-    rows = marks.select("doc_id", "n", "digest").withColumn("links", F.expr("n > 0 and doc_id is not null"))
-    with_class = rows.filter("links").join(of_class, ["n", "digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = rows.filter("not links").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return with_class.unionByName(alone)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by([("doc", "ascending"), ("n", "ascending")])
+        ids, own, sizes = table.column("doc").to_pylist(), table.column("own").to_numpy(), table.column("n").to_numpy()
+        keys = [C.unpack48(p) for p in table.column("keys").to_pylist()]
+        pairs = [(ids[a], ids[b]) for a, b in connect(keys, sizes, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)] if (own == i).any() and (own == j).any() else []
+        return pa.table({"u": pa.array([min(p) for p in pairs], pa.int64()), "v": pa.array([max(p) for p in pairs], pa.int64())})
+
+    links = C.staged(cells.join(sets.select("doc", "n", "keys"), "doc").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long"), "links")
+    labels = components(links)
+    of_class = C.staged(found.select("digest", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("of_class")), "components")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("of_class"))
+    return marks.join(of_class, "digest").select("doc_id", "n_shingles", F.when(component != C.NO_ID, component).alias("component_id"))
