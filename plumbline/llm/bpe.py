@@ -8,8 +8,8 @@ chunks hold. A boundary is sure between a non-blank and a blank: the byte-level
 pre-tokenizer never joins across it, whatever else surrounds it, and no token or special
 token spans it.
 
-Chunk and unit memories are bounded and emptied when full, so a worker's memory does not
-grow with the input; the scan has no shuffle. The vocabulary file's path is a parameter,
+The memory of chunks is bounded and emptied when full, so a worker's memory does not grow
+with the input; the scan has no shuffle. The vocabulary file's path is a parameter,
 read on each executor.
 
 Defined cases: null texts are empty; the empty text has no tokens; special tokens' strings
@@ -19,6 +19,7 @@ in a text become special tokens, as the library does by default.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,8 +34,11 @@ from .substring_dedup import cut_points
 
 #: Fixed value: the characters of Unicode's property White_Space, the blanks of the pre-tokenizer.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A unit: a run of blanks and the run of non-blanks after it; sure boundaries lie between units.
-UNIT = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+#: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The first and the last sure boundary of a text: between a non-blank and a blank.
+FIRST = re.compile(f"[^{BLANKS}](?=[{BLANKS}])")
+LAST = re.compile(f".*[^{BLANKS}](?=[{BLANKS}])", re.DOTALL)
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -63,7 +67,7 @@ def joined(pieces: list[Piece]) -> Piece:
 class ChunkCodec:
     """Encodes and decodes texts with a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, chunk_memory: int = 20_000, unit_memory: int = 250_000):
+    def __init__(self, path: str, chunk_memory: int = 8_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -74,12 +78,34 @@ class ChunkCodec:
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = token.encode() if i in special else bytes(symbols[c] for c in token)
+        self.decimals = [str(i) for i in range(len(self.bytes))]
+        self.special = {t.content: i for i, t in special.items()}
+        self.fast = self.rank_encoder(path)
         self.chunks: dict[bytes, tuple] = {}
-        self.units: dict[str, Piece] = {}
-        self.older: dict[str, Piece] = {}
-        self.chunk_memory, self.unit_memory = chunk_memory, unit_memory
+        self.chunk_memory = chunk_memory
         self.encoded_chunks = self.met_chunks = 0
 
+    def rank_encoder(self, path: str):
+        """The same encoding by merge ranks, several times as fast; None where the file asks for more than it can do."""
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, pre = file["model"], file.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        tokens = [t for t in file.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if not plain or not level or tokens or file.get("normalizer") or merged != sorted(merged):
+            return None
+        import tiktoken
+
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in set(self.special.values())}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def library_ids(self, strings: list[str]) -> list[list[int]]:
+        if self.fast is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [self.fast.encode(s, allowed_special="all") if any(t in s for t in self.special) else self.fast.encode_ordinary(s) for s in strings]
+
     def raw(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -87,81 +113,74 @@ class ChunkCodec:
         """The decoded text as UTF-8; bytes that are no UTF-8 become replacement characters, as in the library."""
         return self.raw(ids).decode("utf-8", "replace").encode()
 
-    def encode_units(self, units: list[str]) -> Piece:
-        """A stretch that starts and ends at sure boundaries (or the text's ends), unit by unit."""
-        known = self.units
-        try:
-            return joined([known[u] for u in units])
-        except KeyError:
-            pass
-        if len(known) > self.unit_memory:  # a generation is full: what is met again moves to the next
-            self.older, self.units = known, {}
-            known = self.units
-        new, ends = [], {}
-        for u in dict.fromkeys(units):
-            if u in known:
-                continue
-            if u in self.older:
-                known[u] = self.older[u]
-                continue
-            core = u.rstrip(",.;:!?")
-            if core != u and core and core[-1] < "\u0250" and core[-1].isalpha():
-                # letters end a pre-token where punctuation begins: both sides are encoded alone
-                ends[u] = core, u[len(core) :]
-                new += [x for x in ends[u] if x not in known]
-            else:
-                new.append(u)
-        new = list(dict.fromkeys(new))
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            known[u] = Piece(len(ids), ",".join(map(str, ids)).encode(), self.raw(ids))
-        for u, (core, end) in ends.items():
-            known[u] = joined([known[core], known[end]])
-        return joined([known[u] for u in units])
-
-    def encode_chunk(self, chunk: str) -> tuple:
-        """(head, piece, tail): what lies between the first and the last sure boundary inside the chunk, encoded.
-
-        A chunk with fewer than two sure boundaries is all head, without a piece.
+    def cut(self, text: bytes):
+        """The chunks of a text as [head, inner, tail]: head ends at the first sure boundary inside, tail begins at the last.
+
+        inner is a Piece, or text that is to be encoded. A chunk without a sure boundary is all head, its inner None.
         """
-        units = UNIT.findall(chunk)
-        # the last unit may go on in the next chunk, the first may have begun in the last one
-        if len(units) < 3:
-            return chunk, None, ""
-        return units[0], self.encode_units(units[1:-1]), units[-1]
-
-    def encode_piece(self, text: bytes) -> Piece:
-        pieces: list[Piece] = []
-        open_ = ""  # text since the last sure boundary, not encoded yet
         last = 0
-        for cut in cut_points(text, shortest=512, bits=8, longest=4096):
-            while cut < len(text) and text[cut] & 0xC0 == 0x80:  # not inside a character
-                cut += 1
-            if cut <= last:
+        for at in cut_points(text, shortest=512, bits=9, longest=8192):
+            while at < len(text) and text[at] & 0xC0 == 0x80:  # not inside a character
+                at += 1
+            if at <= last:
                 continue
-            chunk, last = text[last:cut], cut
+            chunk, last = text[last:at], at
             key = xxhash.xxh3_128_digest(chunk)
             got = self.chunks.get(key)
             self.met_chunks += 1
             if got is None:
                 if len(self.chunks) >= self.chunk_memory:
                     self.chunks.clear()
-                got = self.chunks[key] = self.encode_chunk(chunk.decode())
+                s = chunk.decode()
+                first = FIRST.search(s)
+                if first is None:
+                    got = [s, None, ""]
+                else:
+                    i, j = first.end(), LAST.match(s).end()
+                    got = [s[:i], s[i:j], s[j:]]
+                self.chunks[key] = got
                 self.encoded_chunks += 1
-            head, inner, tail = got
-            open_ += head
-            if inner is None:
-                continue  # no sure boundary yet: the stretch grows
-            # Repair: the stretch across the join, encoded anew between two sure boundaries.
-            pieces.append(self.encode_units(UNIT.findall(open_)))
-            pieces.append(inner)
-            open_ = tail
-        if open_:
-            pieces.append(self.encode_units(UNIT.findall(open_)))
-        return joined(pieces)
+            yield got
+
+    def encode_pieces(self, texts: list[bytes]) -> list[Piece]:
+        """The encoding of each text. What is new in all of them goes to the library at once."""
+        plans, new = [], {}
+        for text in texts:
+            plan: list = []  # strings to encode, and chunks whose inner is known or among those
+            open_ = ""  # text since the last sure boundary
+            for chunk in self.cut(text):
+                open_ += chunk[0]
+                if chunk[1] is None:
+                    continue  # no sure boundary yet: the stretch grows
+                # Repair: the stretch across the join is encoded anew between two sure boundaries.
+                plan += [open_, chunk]
+                new[open_] = None
+                if isinstance(chunk[1], str):
+                    new[chunk[1]] = None
+                open_ = chunk[2]
+            if open_:
+                plan.append(open_)
+                new[open_] = None
+            plans.append(plan)
+        strings = list(new)
+        decimal = self.decimals.__getitem__
+        for s, ids in zip(strings, self.library_ids(strings)):
+            new[s] = Piece(len(ids), ",".join(map(decimal, ids)).encode(), self.raw(ids))
+        out = []
+        for plan in plans:
+            pieces = []
+            for x in plan:
+                if isinstance(x, str):
+                    pieces.append(new[x])
+                else:
+                    if isinstance(x[1], str):
+                        x[1] = new[x[1]]
+                    pieces.append(x[1])
+            out.append(joined(pieces))
+        return out
 
     def encode(self, text: bytes) -> list[int]:
-        decimals = self.encode_piece(text).decimals
+        decimals = self.encode_pieces([text])[0].decimals
         return list(map(int, decimals.split(b","))) if decimals else []
 
 
@@ -181,11 +200,10 @@ def encode_documents(docs: DataFrame, path: str, texts: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
                 n, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
-                for text in C.texts_of(part.column(1)):
-                    piece = codec.encode_piece(text)
+                for piece in codec.encode_pieces(C.texts_of(part.column(1))):
                     back = piece.decoded.decode("utf-8", "replace")
                     n.append(piece.count)
                     ids_sha.append(hashlib.sha256(piece.decimals).hexdigest())
