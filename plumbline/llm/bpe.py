@@ -23,6 +23,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -67,28 +68,35 @@ def joined(pieces: list[Piece]) -> Piece:
 class ChunkCodec:
     """Encodes and decodes texts with a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, chunk_memory: int = 8_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        symbols, special = byte_of_symbol(), self.tokenizer.get_added_tokens_decoder()
-        self.bytes = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = token.encode() if i in special else bytes(symbols[c] for c in token)
+    def __init__(self, path: str, chunk_memory: int = 4_000):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        symbols, vocabulary = byte_of_symbol(), file["model"]["vocab"]
+        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+        of_special = set(self.special.values())
+        self.bytes = [b""] * (1 + max([*vocabulary.values(), *of_special]))
+        for token, i in [*vocabulary.items(), *self.special.items()]:
+            self.bytes[i] = token.encode() if i in of_special else bytes(symbols[c] for c in token)
         self.decimals = [str(i) for i in range(len(self.bytes))]
-        self.special = {t.content: i for i, t in special.items()}
-        self.fast = self.rank_encoder(path)
+        self.fast = self.rank_encoder(file)
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_memory = chunk_memory
         self.encoded_chunks = self.met_chunks = 0
 
-    def rank_encoder(self, path: str):
+    @cached_property
+    def tokenizer(self):
+        """The library's own encoder, only loaded where it is needed."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def rank_encoder(self, file: dict):
         """The same encoding by merge ranks, several times as fast; None where the file asks for more than it can do."""
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
         model, pre = file["model"], file.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -98,7 +106,8 @@ class ChunkCodec:
             return None
         import tiktoken
 
-        ranks = {b: i for i, b in enumerate(self.bytes) if i not in set(self.special.values())}
+        special = set(self.special.values())
+        ranks = {b: i for i, b in enumerate(self.bytes) if b and i not in special}
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def library_ids(self, strings: list[str]) -> list[list[int]]:
