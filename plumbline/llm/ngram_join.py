@@ -270,7 +270,7 @@ def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
     return by.cogroup(told.groupBy("g")).applyInArrow(keep, "doc long, n long, keys binary, lists array<long>")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets.
@@ -299,7 +299,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int
         pairs = [(ids[a], ids[b]) for a, b in connect(keys, sizes, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)] if (own == i).any() and (own == j).any() else []
         return pa.table({"u": pa.array([min(p) for p in pairs], pa.int64()), "v": pa.array([max(p) for p in pairs], pa.int64())})
 
-    links = C.staged(cells.join(sets.select("doc", "n", "keys"), "doc").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long"), "links")
+    # as many tasks as the text has groups: the search takes time, not bytes, and must not be coalesced by size
+    links = C.staged(cells.join(sets.select("doc", "n", "keys"), "doc").repartition(groups, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long"), "links")
     labels = components(links)
     of_class = C.staged(found.select("digest", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("of_class")), "components")
     component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("of_class"))
