@@ -59,12 +59,15 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return samples.filter("length(text) > 1").select(F.explode(pairs).alias("p")).groupBy((F.col("p.x") * SIZE + F.col("p.y")).alias("pair")).agg(F.count("*").alias("c"))
 
 
-def transition_logs(counts: dict[int, int], prior: float = 0.5) -> list[float]:
-    """log P(next | character) for every pair, with `prior` added to each count."""
-    rows = Counter()
+def transition_logs(counts: dict[int, int], weight: float = 8.0, prior: float = 0.5) -> list[float]:
+    """log P(next | character) for every pair: counts, backed off with `weight` to how often a character comes next at all."""
+    rows, nexts = Counter(), Counter()
     for pair, c in counts.items():
         rows[pair // SIZE] += c
-    return [math.log((counts.get(x * SIZE + y, 0) + prior) / (rows[x] + prior * SIZE)) for x in range(SIZE) for y in range(SIZE)]
+        nexts[pair % SIZE] += c
+    total = sum(nexts.values()) + prior * SIZE
+    alone = [(nexts[y] + prior) / total for y in range(SIZE)]
+    return [math.log((counts.get(x * SIZE + y, 0) + weight * alone[y]) / (rows[x] + weight)) for x in range(SIZE) for y in range(SIZE)]
 
 
 def trained(random: DataFrame, ordinary: DataFrame) -> list[float]:

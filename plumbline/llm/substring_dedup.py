@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-Cut points depend on the last 32 bytes only, so an insertion shifts no cut but those
+Cut points depend on the last 24 bytes only, so an insertion shifts no cut but those
 around it. A chunk whose 128-bit digest also occurs in a document with a smaller id is a
 duplicate; runs of duplicate chunks of at least `min_run` bytes are removed.
 
@@ -28,10 +28,10 @@ from . import common as C
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_chunks long, n_duplicate_chunks long"
 
 
-def cut_points(text: bytes, shortest: int = 32, bits: int = 5, longest: int = 256, window: int = 32) -> list[int]:
+def cut_points(text: bytes, shortest: int = 20, bits: int = 4, longest: int = 128, window: int = 24) -> list[int]:
     """Ends of the chunks of text, its length last."""
     n = len(text)
-    if n <= shortest:
+    if n <= max(shortest, window):
         return [n] if n else []
     h = C.gear_hash(np.frombuffer(text, np.uint8), window)
     # a chunk may end after the byte that completes a window with `bits` leading zero bits
