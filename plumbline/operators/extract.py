@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import refs
 from ..sources import markdown as md
@@ -141,17 +143,24 @@ def rows_of_file(file: str, source: str) -> list[dict]:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """Tagged rows of Markdown files (path, content)."""
-    columns = [c.strip().split()[0] for c in re.sub(r"<[^>]*>", "", ROWS).split(",")]
+    """Tagged rows of Markdown files (path, content). Parsing takes time, not bytes, so files are dealt over all partitions."""
+    spark = files.sparkSession
+    schema = to_arrow_schema(StructType.fromDDL(ROWS))
+    maps = [f.name for f in schema if pa.types.is_map(f.type)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = rows_of_file(path, bytes(content).decode("utf-8"))  # not UTF-8: a hard error
-                frame = pd.DataFrame([{c: r.get(c) for c in columns} for r in rows], columns=columns, dtype=object)
-                yield frame
-
-    return files.select("path", "content").mapInPandas(run, ROWS)
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += rows_of_file(path, content.decode("utf-8"))  # not UTF-8: a hard error
+            for r in rows:
+                for m in maps:
+                    if r.get(m) is not None:
+                        r[m] = list(r[m].items())
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    dealt = files.select("path", "content").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(run, ROWS)
 
 
 @dataclass
