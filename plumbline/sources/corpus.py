@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +76,20 @@ def listed(root: str, hidden: bool = False) -> list[str]:
 
 
 def files_of(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every listed file; contents are read by the executors."""
-    paths = listed(root)
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    read = spark.read.format("binaryFile").load([os.path.join(root, p) for p in paths])
-    prefix = len(os.path.abspath(root).rstrip("/")) + 1
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return read.select(F.url_decode(F.replace(plain.substr(F.lit(prefix + 1), F.length("path")), F.lit("+"), F.lit("%2B"))).alias("path"), "content")
+    """(path, content) of every listed file; the executors read the contents, so root is a folder that they share.
+
+    Spark's own file sources leave out names with a leading underscore, which are files like any others here.
+    """
+    base = os.path.abspath(root)
+    paths = spark.createDataFrame([(p,) for p in listed(base)], "path string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(base, path), "rb") as f:
+                    yield pa.record_batch({"path": pa.array([path]), "content": pa.array([f.read()], pa.binary())})
+
+    return paths.mapInArrow(read, "path string, content binary")
 
 
 def texts_frame(spark: SparkSession, texts: dict[str, str | bytes]) -> DataFrame:
