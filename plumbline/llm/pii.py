@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .secrets import overlaps
-from .spans import digits, luhn, match_spans, span_texts
+from .spans import clear_of, digits, luhn, match_spans, span_texts
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: The patterns asked for. Possessive, and begun only where a run begins, they find
@@ -72,7 +71,7 @@ def _instances(found: DataFrame) -> DataFrame:
     """Distinct (pattern, instance, seed)."""
     base = F.concat("email", "ip", "card", "phone")
     seeds = F.transform(base, lambda s: F.struct(introduced_by(s).alias("pattern"), s["value"].alias("instance"), F.lit(True).alias("seed")))
-    others = F.transform(F.filter("tokens", lambda s: ~overlaps(s, base)), lambda s: F.struct(introduced_by(s).alias("pattern"), s["value"].alias("instance"), F.lit(False).alias("seed")))
+    others = F.transform(clear_of(F.col("tokens"), base), lambda s: F.struct(introduced_by(s).alias("pattern"), s["value"].alias("instance"), F.lit(False).alias("seed")))
     return found.select(F.explode(F.concat(seeds, others)).alias("x")).select("x.*").filter("pattern <> ''").distinct()
 
 
@@ -96,7 +95,7 @@ def with_context(found: DataFrame, most_patterns: int = 10_000, **options) -> Da
     """
     patterns = C.staged(confident_patterns(found, **options), "confident")
     base = F.concat("email", "ip", "card", "phone")
-    free = F.filter("tokens", lambda s: ~overlaps(s, base))
+    free = clear_of(F.col("tokens"), base)
     names = [r.pattern for r in patterns.limit(most_patterns + 1).collect()]
     if len(names) <= most_patterns:
         listed = F.from_json(F.lit(json.dumps(sorted(names))), "array<string>")

@@ -4,12 +4,11 @@ Patterns find assignments, access keys and long hex strings. Beyond them, tokens
 characters or more are scored under two first-order Markov models, one of random strings,
 one of ordinary identifiers; the mean log-likelihood ratio a character decides. Random
 strings are learned from labelled samples (the values that patterns found, all of them, or
-a table given), identifiers from the words of 8 letters or more of at most
-`identifier_docs` documents (smallest hashes of doc_id; the documented bound), or a table
+a table given), identifiers from all words of 8 letters or more in the texts, or a table
 given. What the driver holds is the two tables of character pairs, of a fixed size.
 
-One scan of the texts writes the matches and tokens, which are few; the models are trained
-and applied on those.
+One scan of the texts writes the matches and tokens, which are few; another adds up the
+pairs of the words.
 
 Spans are code points, end exclusive; a model span never overlaps a pattern's.
 Defined cases: null texts are empty and have no spans; without samples the models are flat
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .spans import match_spans
+from .spans import clear_of, let, match_spans
 
 #: The patterns asked for. Of hex and access keys only matches of full length can be, as the runs are maximal.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -52,11 +51,18 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
 
 
+def codes(text: Column) -> Column:
+    """The number of each character in the alphabet, from 1; 0 for others. Linear in the text."""
+    return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """(pair, c): how often each pair of neighbouring characters occurs in samples (text)."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.col("text").substr(i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.struct(at(i).alias("x"), at(i + 1).alias("y")))
-    return samples.filter("length(text) > 1").select(F.explode(pairs).alias("p")).groupBy((F.col("p.x") * SIZE + F.col("p.y")).alias("pair")).agg(F.count("*").alias("c"))
+    """(pair, c): how often each pair of neighbouring characters occurs in samples (text).
+
+    The keys are SIZE**2 at most, so that tasks add up before anything is shuffled.
+    """
+    pairs = let(codes(F.col("text")), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.get(x, i) * SIZE + F.get(x, i + 1)))
+    return samples.filter("length(text) > 1").select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("c"))
 
 
 def transition_logs(counts: dict[int, int], weight: float = 8.0, prior: float = 0.5) -> list[float]:
@@ -82,27 +88,21 @@ def trained(random: DataFrame, ordinary: DataFrame) -> list[float]:
 def mean_ratio(value: Column, ratios: list[float]) -> Column:
     """The mean log-likelihood ratio a character pair of a string."""
     table = F.from_json(F.lit(json.dumps([round(r, 6) for r in ratios])), "array<double>")
-    at = lambda i: F.instr(F.lit(ALPHABET), value.substr(i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, at(i) * SIZE + at(i + 1)))
+    total = let(codes(value), lambda x: F.aggregate(F.sequence(F.lit(0), F.size(x) - 2), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(x, i) * SIZE + F.get(x, i + 1))))
     return total / (F.length(value) - 1)
 
 
-def overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (span["start"] < o["end"]) & (o["start"] < span["end"]))
-
-
-def find_secrets(docs: DataFrame, random: DataFrame | None = None, ordinary: DataFrame | None = None, least_ratio: float = 0.5, identifier_docs: int = 2000) -> DataFrame:
+def find_secrets(docs: DataFrame, random: DataFrame | None = None, ordinary: DataFrame | None = None, least_ratio: float = 0.5) -> DataFrame:
     """doc_id, assign, access, hex, markov: the spans of each kind in each text."""
     found = C.staged(scanned(docs), "secrets")
     if random is None:
         random = found.select(F.explode(F.concat("assign", "access", "hex"))).select(F.col("col.value").alias("text"))
     if ordinary is None:
-        few = C.id_text(docs).join(F.broadcast(C.id_text(docs).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(identifier_docs)), "doc_id", "left_semi")
-        ordinary = few.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_]{8,}"), F.lit(0))).alias("text"))
+        ordinary = C.id_text(docs).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_]{8,}"), F.lit(0))).alias("text"))
     ratios = trained(random, ordinary)
-    base = F.concat("assign", "access", "hex")
+    free = clear_of(F.col("tokens"), F.concat("assign", "access", "hex"))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    model = F.filter("tokens", lambda s: mixed(s) & ~overlaps(s, base) & (mean_ratio(s["value"], ratios) >= least_ratio))
+    model = F.filter(free, lambda s: mixed(s) & (mean_ratio(s["value"], ratios) >= least_ratio))
     return found.select("doc_id", "assign", "access", "hex", model.alias("markov"))
 
 

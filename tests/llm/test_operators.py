@@ -1,11 +1,12 @@
 """Each operator against its plain version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import random
+import re
 
 import brute
 import numpy as np
 import pytest
-from plumbline.llm import common, decontaminate, ngram_join, pii, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from plumbline.llm import common, decontaminate, ngram_join, pii, quality_classifier, quality_rules, secrets, spans, substring_dedup, suffix_dedup, toxicity
 from pyspark.sql import functions as F
 
 WORDS = "the of and lorem ipsum dolor sit amet alpha beta gamma delta kappa sigma omega río naïve straße 東京".split()
@@ -137,6 +138,21 @@ def test_markov_models_part_random_from_ordinary(spark):
     assert sum(len(r.markov) for r in found if r.doc_id >= 100) <= 2
 
 
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """Texts of far more matches and tokens than a block of spans holds."""
+    monkeypatch.setattr(spans, "BLOCK", 4)
+    rng = random.Random(7)
+    parts = [rng.choice(["%030x" % rng.getrandbits(120), "token=%012d" % rng.getrandbits(30), "AKIA" + "Z" * rng.randint(10, 20), "Ab3" * 9, "é"]) for _ in range(300)]
+    rows = [(1, " ".join(parts)), (2, "-".join(parts)), (3, "Ab3" * 20000)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), least_ratio=-99.0).collect()
+    report = got(secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")), "n_assign", "n_access", "n_hex", "base_sha256")
+    assert report == {i: brute.secret_spans(t) for i, t in rows}
+    for r in found:
+        base = [(s.start, s.end) for s in (*r.assign, *r.access, *r.hex)]
+        tokens = [m.span() for m in re.finditer(secrets.TOKEN, rows[r.doc_id - 1][1]) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert [(s.start, s.end) for s in r.markov] == [t for t in tokens if not any(t[0] < e and b < t[1] for b, e in base)]
+
+
 def test_pii(docs, rows):
     found = pii.personal_data_report(docs)
     assert got(found, "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {i: brute.personal_spans(t) for i, t in rows}
