@@ -1,8 +1,9 @@
-"""python -m plumbline check|blast|signals|run|rename ROOT [...]; the configuration is ROOT/genres.yaml."""
+"""python -m plumbline check|blast|affected|signals|run|rename ROOT [...]; the configuration is ROOT/genres.yaml."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import subprocess
 import sys
@@ -18,12 +19,13 @@ from .sources.corpus import ConfigError
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline")
-    p.add_argument("command", choices=["check", "blast", "signals", "run", "rename"])
+    p.add_argument("command", choices=["check", "blast", "affected", "signals", "run", "rename"])
     p.add_argument("root")
     p.add_argument("names", nargs="*")
     p.add_argument("--json", action="store_true")
     p.add_argument("--out")
     p.add_argument("--sigil", default=SIGIL)
+    p.add_argument("--register", help="module:name of a dict of checks that replaces the thirteen")
     p.add_argument("--execute", action="store_true", help="run the commands that markers name")
     p.add_argument("--write", action="store_true")
     a = p.parse_args(argv)
@@ -34,8 +36,12 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "rename" and a.write and subprocess.run(["git", "-C", a.root, "status", "--porcelain"], capture_output=True, text=True).stdout.strip():
             print("the tree has changes that are not committed", file=sys.stderr)
             return 2
-        engine = Engine.of_tree(spark, a.root, config, sigil=a.sigil)
-    except (OSError, ConfigError) as e:
+        register = None
+        if a.register:
+            module, _, name = a.register.partition(":")
+            register = getattr(importlib.import_module(module), name)
+        engine = Engine.of_tree(spark, a.root, config, sigil=a.sigil, register=register)
+    except (OSError, ConfigError, ImportError, AttributeError) as e:
         print(e, file=sys.stderr)
         return 2
     if a.command == "check":
@@ -49,10 +55,11 @@ def main(argv: list[str] | None = None) -> int:
             print("\n".join(engine.lines()), file=sys.stderr)
         return 0 if checks.passed(engine.check()) else 1
     if a.command == "signals":
-        for r in engine.signals().orderBy("id").collect():
-            print(f"{r.id}\t{r.file}:{r.line}\tout {r.out_degree}\tin {r.in_degree}\tsurface {r.review_surface}")
-        for r in checks.legacy_ambiguous(engine.corpus).orderBy("file", "line").collect():
-            print(f"ambiguous\t{r.id}\t{r.file}:{r.line}\t{r.evaluator}")
+        print("\n".join(engine.signal_lines()))
+        return 0
+    if a.command == "affected":
+        for claim, members in engine.affected(a.names).items():
+            print(claim, *[f"  {m}" for m in members], sep="\n")
         return 0
     try:
         if a.command == "blast":
@@ -66,9 +73,7 @@ def main(argv: list[str] | None = None) -> int:
             result = engine.run(a.names[0], shell(a.root) if a.execute else None)
             if result is None:
                 raise LookupError(a.names[0])
-            print(f"{result.claim_id}: {result.outcome}")
-            for file, line in result.hits:
-                print(f"  {file}:{line}")
+            print("\n".join(result.lines(a.sigil)))
             return result.exit_code
         changes = engine.rename(a.names[0], a.names[1])
         for c in changes:

@@ -15,8 +15,9 @@ from .sources import corpus as sources
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, files: DataFrame, config: dict, world: sources.World | None = None, sigil: str = evidence.SIGIL):
+    def __init__(self, spark: SparkSession, files: DataFrame, config: dict, world: sources.World | None = None, sigil: str = evidence.SIGIL, register: dict[str, Callable] | None = None):
         self.spark, self.files, self.config, self.world, self.sigil = spark, files, config, world or sources.World(), sigil
+        self.register = register or checks.CHECKS
         self.corpus = extract.load(files, config, self.world)
 
     @classmethod
@@ -32,7 +33,7 @@ class Engine:
 
     def check(self, register: dict[str, Callable] | None = None) -> DataFrame:
         """Findings in order; register replaces the checks."""
-        return checks.told(checks.diagnostics(self.corpus, self.markers(), register or checks.CHECKS))
+        return checks.told(checks.diagnostics(self.corpus, self.markers(), register or self.register))
 
     def report(self, with_findings: bool = False) -> str:
         """The index (and findings) as JSON with sorted keys; nulls stay."""
@@ -67,7 +68,23 @@ class Engine:
     def signals(self) -> DataFrame:
         return graph.degrees(self.corpus.claims, self.corpus.edges())
 
-    def run(self, claim_id: str, execute: Callable[[str], tuple[bool, str]] | None = None) -> evidence.RunResult | None:
+    def signal_lines(self) -> list[str]:
+        """Signals for people: claims that nothing cites, each claim's place in the graph, and grades that leave the axis open."""
+        rows = self.signals().orderBy(F.split("file", "/"), "line").collect()
+        zero = [r for r in rows if not r.in_degree]
+        out = [f"{len(rows)} claims, {len(zero)} zero-inbound", "", "Nothing in the corpus cites these; each may stand alone rightly, or be out of use:", *[f"  {r.id}\t{r.file}:{r.line}" for r in zero]]
+        out += ["", "id\tfile\tline\tout-degree\tin-degree\treview-surface", *["\t".join(map(str, (r.id, r.file, r.line, r.out_degree, r.in_degree, r.review_surface))) for r in rows]]
+        if open_ := checks.legacy_ambiguous(self.corpus).orderBy(F.split("file", "/"), "line").collect():
+            out += ["", f"{len(open_)} claim(s) graded review or proof, which may mean design or implementation; `verification` would say which:", *[f"  {r.id}\t{r.file}:{r.line}\t{r.evaluator}" for r in open_]]
+        return out
+
+    def affected(self, paths: list[str]) -> dict[str, list[str]]:
+        """For each claim of the files at paths that anything cites: what does, directly or not. What a hook before a commit tells."""
+        starts = self.corpus.claims.filter(F.col("file").isin(list(paths))).select(F.col("id").alias("start")).distinct()
+        rows = graph.closure(self.corpus.edges(), starts).groupBy("start").agg(F.array_sort(F.collect_set("member")).alias("members")).orderBy("start")
+        return {r.start: r.members for r in rows.collect()}
+
+    def run(self, claim_id: str, execute: Callable[[str], tuple] | None = None) -> evidence.RunResult | None:
         paths = [r.path for r in self.files.select("path").collect()]
         return evidence.run_claim(self.corpus, self.markers(), claim_id, execute, sorted(self.world.ignored(paths)))
 
@@ -75,11 +92,11 @@ class Engine:
         return rename.plan_rename(self.files, self.config, old, new, self.world, self.sigil)
 
 
-def shell(root: str) -> Callable[[str], tuple[bool, str]]:
+def shell(root: str) -> Callable[[str], tuple[bool, str, str, int | None]]:
     """Runs a marker's command in the tree's root: code of the corpus, so only on request."""
 
-    def execute(command: str) -> tuple[bool, str]:
-        r = subprocess.run(["sh", "-c", command], cwd=root, capture_output=True, text=True)
-        return r.returncode == 0, r.stdout
+    def execute(command: str) -> tuple[bool, str, str, int | None]:
+        r = subprocess.run(["sh", "-c", command], cwd=root, capture_output=True, text=True, errors="replace")
+        return r.returncode == 0, r.stdout, r.stderr, r.returncode if r.returncode >= 0 else None
 
     return execute

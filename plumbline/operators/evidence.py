@@ -100,21 +100,27 @@ def find_literal(files: DataFrame, literal: str, ignored: list[str] = ()) -> tup
                 source = without_comments(source, extension)
                 if extension == "rs":
                     source = without_test_items(source)
-                at = source.find(literal)
-                lines = set()
+                at, seen, line = source.find(literal), 0, 1
+                lines = []
                 while at >= 0:
-                    lines.add(source.count("\n", 0, at) + 1)
+                    line, seen = line + source.count("\n", seen, at), at
+                    if lines[-1:] != [line]:
+                        lines.append(line)
                     at = source.find(literal, at + max(1, len(literal)))
-                hits += [(path, n) for n in sorted(lines)]
+                hits += [(path, n) for n in lines]
             yield pd.DataFrame(hits, columns=["file", "line"])
 
     return left.filter(text).select("path", "content").mapInPandas(run, "file string, line int"), left.filter(~text).select(F.col("path").alias("file"))
 
 
+def is_vacuous() -> Column:
+    """Whether a marker's success says nothing; exempt markers are taken at their word."""
+    return F.col("success") & ~F.col("exempt") & refs.is_vacuous(F.coalesce("stdout", F.lit("")))
+
+
 def fold(outcomes: DataFrame) -> DataFrame:
     """claim_id, outcome of marker outcomes (claim_id, success, stdout, exempt): any failure fails, else vacuous ones are vacuous, else pass."""
-    vacuous = F.col("success") & ~F.col("exempt") & refs.is_vacuous(F.coalesce("stdout", F.lit("")))
-    rows = outcomes.groupBy("claim_id").agg(F.bool_and("success").alias("s"), F.bool_or(vacuous).alias("v"))
+    rows = outcomes.groupBy("claim_id").agg(F.bool_and("success").alias("s"), F.bool_or(is_vacuous()).alias("v"))
     return rows.select("claim_id", F.when(~F.col("s"), "fail").when(F.col("v"), "vacuous").otherwise("pass").alias("outcome"))
 
 
@@ -124,6 +130,31 @@ def conformance(claims: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count_if(F.col("outcome") == "pass").alias("discharged"), F.count("*").alias("total"))
 
 
+@dataclass
+class MarkerResult:
+    """What one marker came to; code is the command's exit code, None if a signal ended it."""
+
+    file: str
+    line: int
+    command: str | None
+    success: bool
+    stdout: str = ""
+    stderr: str = ""
+    code: int | None = None
+    exempt: bool = False
+    vacuous: bool = False
+
+    def lines(self) -> list[str]:
+        """For people: a status line, and what was printed where there is something to look into."""
+        status = "vacuous" if self.vacuous else "ok" if self.success and self.command is not None else "ok (bare)" if self.success else "FAIL" + (f" (exit {self.code})" if self.code is not None else "")
+        out = [f"  {status}\t{self.file}:{self.line}\t{self.command or '<bare>'}"]
+        if self.vacuous or not self.success:
+            for name in ("stdout", "stderr"):
+                if text := getattr(self, name):
+                    out += [f"  --- {name} ---", *[f"  {x}" for x in text.splitlines()]]
+        return out
+
+
 @dataclass
 class RunResult:
     claim_id: str
@@ -137,12 +168,24 @@ class RunResult:
     def exit_code(self) -> int:
         return OUTCOMES[self.outcome]
 
+    def lines(self, sigil: str = SIGIL) -> list[str]:
+        """For people: the outcome, files that could not be searched, each marker, and hits of literals."""
+        out = [f"{self.outcome}\t{self.claim_id}\t{self.evaluator}"]
+        if self.skipped:
+            out += [f"  {len(self.skipped)} file(s) are no UTF-8 and were not searched:", *[f"    {x}" for x in self.skipped]]
+        if self.outcome == "absent":
+            form = "bare or with a command" if self.evaluator == "type" else "with a command"
+            return [*out, f"  no file has a marker `{sigil} {self.claim_id}` {form}"]
+        for m in self.markers:
+            out += m.lines()
+        return out + [f"  {file}:{line}" for file, line in self.hits]
+
 
-def run_claim(corpus, markers: DataFrame, claim_id: str, execute: Callable[[str], tuple[bool, str]] | None = None, ignored: list[str] = ()) -> RunResult | None:
+def run_claim(corpus, markers: DataFrame, claim_id: str, execute: Callable[[str], tuple] | None = None, ignored: list[str] = ()) -> RunResult | None:
     """The outcome of one claim; None if there is none of that id.
 
-    execute runs a marker's command on the driver and returns (success, output); without
-    it, commands of the corpus are not run and claims that need one raise.
+    execute runs a marker's command on the driver and returns (success, stdout), and may
+    add stderr and the exit code; without it, commands of the corpus are not run and claims that need one raise.
     """
     claim = corpus.claims.filter(F.col("id") == claim_id).orderBy(F.split("file", "/"), "ordinal").first()
     if claim is None:
@@ -151,24 +194,27 @@ def run_claim(corpus, markers: DataFrame, claim_id: str, execute: Callable[[str]
     if evaluator in ("none", "review"):
         return RunResult(claim_id, evaluator, evaluator)
     own = [m for m in markers.filter(F.col("id") == claim_id).orderBy("file", "line").collect() if m.command is not None or evaluator == "type"]
-    result = RunResult(claim_id, evaluator, "absent", own)
+    result = RunResult(claim_id, evaluator, "absent")
     if not own:
         return result
-    spark, rows = corpus.files.sparkSession, []
     for m in own:
         if m.command is None:
-            rows.append((claim_id, True, "", True))
+            told = MarkerResult(m.file, m.line, None, True, exempt=True)
         elif evaluator == "absent":
             hits, skipped = find_literal(corpus.files, m.command, ignored)
             found = [tuple(h) for h in hits.orderBy("file", "line").collect()]
             result.hits += found
             result.skipped += [r.file for r in skipped.collect()]
-            rows.append((claim_id, not found, "", True))
+            told = MarkerResult(m.file, m.line, m.command, not found, exempt=True)
         else:
             if execute is None:
                 raise PermissionError(f"the command of {m.file}:{m.line} runs only with an executor given")
-            success, output = execute(m.command)
-            rows.append((claim_id, success, output, m.exempt))
+            success, stdout, *more = execute(m.command)
+            told = MarkerResult(m.file, m.line, m.command, success, stdout, *more, exempt=m.exempt)
+        result.markers.append(told)
     result.skipped = sorted(set(result.skipped))
-    result.outcome = fold(spark.createDataFrame(rows, "claim_id string, success boolean, stdout string, exempt boolean")).first().outcome
+    rows = corpus.files.sparkSession.createDataFrame([(claim_id, n, m.success, m.stdout, m.exempt) for n, m in enumerate(result.markers)], "claim_id string, n int, success boolean, stdout string, exempt boolean")
+    for r in rows.filter(is_vacuous()).select("n").collect():
+        result.markers[r.n].vacuous = True
+    result.outcome = fold(rows).first().outcome
     return result

@@ -121,6 +121,9 @@ def test_graph(spark):
     assert e.blast("a", exact=True) == (["b", "c"], [("b", "c")])
     assert {r.member for r in e.blast("a").collect()} == {"b", "c"}
     assert {r.id: (r.out_degree, r.in_degree, r.review_surface) for r in e.signals().collect()} == {"a": (0, 1, 2), "b": (2, 1, 1), "c": (1, 1, 1)}
+    assert e.affected(["docs/specs/a.md"]) == {"a": ["b", "c"], "b": ["c"], "c": ["b"]} and e.affected([]) == {}
+    told = e.signal_lines()
+    assert told[0] == "3 claims, 0 zero-inbound" and "b\tdocs/specs/a.md\t14\t2\t1\t1" in told
     with pytest.raises(LookupError):
         e.blast("nothing")
     assert graph.walk([("s", "s")], "s") == ([], [("s", "s")])
@@ -141,6 +144,9 @@ def test_evidence(spark):
     assert (e.run("n").outcome, e.run("ty").outcome, e.run("zz")) == ("none", "pass", None)
     gone = e.run("gone")
     assert gone.outcome == "fail" and gone.hits == [("src/lib.rs", 2)]
+    assert gone.lines()[0] == "fail\tgone\tabsent" and gone.lines()[-1] == "  src/lib.rs:2"
+    told = e.run("t", lambda c: (c != "run it", "out", "err", 3)).lines()
+    assert told == ["fail\tt\ttest", "  FAIL (exit 3)\tsrc/m.py:1\trun it", "  --- stdout ---", "  out", "  --- stderr ---", "  err", "  ok\tsrc/m.py:4\tother"]
     with pytest.raises(PermissionError):
         e.run("t")
 
@@ -202,3 +208,5 @@ def test_reader_takes_any_text(text):
 def test_register_can_be_replaced(spark):
     e = Engine.of_texts(spark, {"docs/specs/a.md": claim("a", kind="requirement")}, CONFIG)
     assert e.check({"C1": checks.c1}).collect() == []
+    only = Engine.of_texts(spark, {"docs/specs/a.md": claim("a", kind="requirement")}, CONFIG, register={"C2": checks.c2})
+    assert json.loads(only.report(with_findings=True))["findings"] == []
