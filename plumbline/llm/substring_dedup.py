@@ -2,7 +2,9 @@
 
 Cut points depend on the last 24 bytes only, so an insertion shifts no cut but those
 around it. A chunk whose 128-bit digest also occurs in a document with a smaller id is a
-duplicate; runs of duplicate chunks of at least `min_run` bytes are removed.
+duplicate; runs of duplicate chunks of at least `min_run` bytes are removed, and a run that
+is the whole text whatever its length. Only a text's last chunk is shorter than 20 bytes, so
+with `min_run` 20 no duplicate chunk stays but such an end behind a chunk of the text's own.
 
 Plan: documents are dealt into groups of about 4 MB by a hash of doc_id. Each group asks,
 once for each distinct digest, who owns it; the askers of a digest meet in the digest's
@@ -85,7 +87,7 @@ def _ids(rows) -> np.ndarray:
     return np.array([C.NO_ID if i is None else i for i, _ in rows], np.int64)
 
 
-def remove_duplicate_chunks(docs: DataFrame, min_run: int = 96, within: bool = False, keep_text: bool = False, **params) -> DataFrame:
+def remove_duplicate_chunks(docs: DataFrame, min_run: int = 20, within: bool = False, keep_text: bool = False, **params) -> DataFrame:
     """One row a document: what is left of it after its duplicate chunks are gone.
 
     within: a chunk's later copies in the same document are duplicates, too.
@@ -143,7 +145,7 @@ def remove_duplicate_chunks(docs: DataFrame, min_run: int = 96, within: bool = F
             from_, to = C.spans_of(duplicate[a:b])
             for x, y in zip(from_, to):
                 s, e = start[a + x], end[a + y - 1]
-                if e - s >= min_run:
+                if e - s >= min_run or e - s == len(text):
                     mask[s:e] = True
             spans, removed = C.spans_of(mask), int(mask.sum())
             kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if removed else text

@@ -81,6 +81,30 @@ def test_substring_dedup(docs, rows, monkeypatch):
     assert twins and all(found[i].n_removed == found[i].n_bytes for i in twins)
 
 
+def test_short_copies_go_whole(spark):
+    rng = random.Random(12)
+    rows = [(n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))) for n in range(1, 96)]
+    copies = [(100 + c * 100 + i, t) for c in (1, 2, 3) for i, t in rows]
+    found = {r.doc_id: r for r in substring_dedup.remove_duplicate_chunks(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    assert len(found) == 4 * 95 and all(found[i].n_removed == 0 for i, _ in rows if i >= 20)
+    for i, t in copies:
+        r = found[i]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (len(t), 1, brute.sha("")) and r.n_duplicate_chunks == r.n_chunks
+
+
+def test_any_duplicate_chunk_goes(spark):
+    rng = random.Random(13)
+    first = text(rng, 200)
+    cuts = [0, *substring_dedup.cut_points(first.encode())]
+    rows = [(1, first)] + [(2 + i, "#" * 40 + first.encode()[a:b].decode("utf-8", "ignore")) for i, (a, b) in enumerate(zip(cuts, cuts[4:]))]
+    found = {r.doc_id: r for r in substring_dedup.remove_duplicate_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[1:]:
+        ends = substring_dedup.cut_points(t.encode())
+        chunks = [t.encode()[a:b] for a, b in zip([0, *ends], ends)]
+        assert found[i].n_removed >= sum(len(c) for c in chunks if len(c) >= 20 and c in {first.encode()[a:b] for a, b in zip(cuts, cuts[1:])})
+    assert any(0 < found[i].n_removed < 96 for i, _ in rows[1:])
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     t = text(rng, 2000).encode()
