@@ -32,7 +32,8 @@ EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-TOKEN = "(?<![^\\s,;])[A-Za-z@._+()/:#-]*+[0-9][A-Za-z0-9@._+()/:#-]{5,}"
+#: A whole run of 6 characters or more with 4 digits or more; the look-ahead runs once a run.
+TOKEN = "(?<![^\\s,;])(?=(?:[A-Za-z@._+()/:#-]*+[0-9]){4})[A-Za-z0-9@._+()/:#-]{6,}+"
 BEFORE = 40
 
 

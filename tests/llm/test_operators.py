@@ -192,6 +192,20 @@ def test_context_finds_unseen_identifiers(spark):
     assert found[40] == "context:17:28" and found[41] == ""
 
 
+def test_short_identifiers_behind_letters_are_candidates(spark):
+    rows = [(i, f"please use acct: 10.0.{i}.7 today") for i in range(40)]
+    tokens = ["AB12345", "EMP-10442", "ABCD1234", "AB1234", "A" * 36 + "1234", "A1234", "ABCDE123", "A" * 37 + "1234"]
+    rows += [(50 + i, f"please use acct: {t} today") for i, t in enumerate(tokens)] + [(60, "please use acct: AB12345")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.personal_data_report(docs).collect()}
+    for i, t in enumerate(tokens):
+        assert found[50 + i] == (f"context:17:{17 + len(t)}" if i < 5 else ""), t
+    masked = {r.doc_id: r.text for r in pii.mask_documents(docs).collect()}
+    assert masked[50] == "please use acct: [CONTEXT] today" and masked[60] == "please use acct: [CONTEXT]"
+    longest = spark.createDataFrame([(1, "A" * 500_000), (2, "1" * 500_000), (3, ",;a" * 100_000)], "doc_id long, text string")
+    assert [r.spans for r in pii.personal_data_report(longest).collect()] == [""] * 3
+
+
 @pytest.mark.parametrize("k,percent,block", [(4, 85, 1024), (5, 80, 1024), (3, 60, 3)])
 def test_ngram_join(docs, rows, k, percent, block, monkeypatch):
     monkeypatch.setattr(common, "GROUP_BYTES", 1 << 14)
