@@ -8,8 +8,8 @@ chunks hold. A boundary is sure between a non-blank and a blank: the byte-level
 pre-tokenizer never joins across it, whatever else surrounds it, and no token or special
 token spans it.
 
-The memory of chunks is bounded and emptied when full, so a worker's memory does not grow
-with the input; the scan has no shuffle. The vocabulary file's path is a parameter,
+The memory of chunks is bounded and gives up the least recently used, so a worker's memory
+does not grow with the input; the scan has no shuffle. The vocabulary file's path is a parameter,
 read on each executor.
 
 Defined cases: null texts are empty; the empty text has no tokens; special tokens' strings
@@ -22,6 +22,7 @@ import hashlib
 import json
 import os
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cached_property
 from typing import NamedTuple
@@ -80,7 +81,7 @@ class ChunkCodec:
             self.bytes[i] = token.encode() if i in of_special else bytes(symbols[c] for c in token)
         self.decimals = [str(i) for i in range(len(self.bytes))]
         self.fast = self.rank_encoder(file)
-        self.chunks: dict[bytes, tuple] = {}
+        self.chunks: OrderedDict[bytes, list] = OrderedDict()  # least recently used first
         self.chunk_memory = chunk_memory
         self.encoded_chunks = self.met_chunks = 0
 
@@ -139,7 +140,7 @@ class ChunkCodec:
             self.met_chunks += 1
             if got is None:
                 if len(self.chunks) >= self.chunk_memory:
-                    self.chunks.clear()
+                    self.chunks.popitem(last=False)
                 s = chunk.decode()
                 first = FIRST.search(s)
                 if first is None:
@@ -149,6 +150,8 @@ class ChunkCodec:
                     got = [s[:i], s[i:j], s[j:]]
                 self.chunks[key] = got
                 self.encoded_chunks += 1
+            else:
+                self.chunks.move_to_end(key)
             yield got
 
     def encode_pieces(self, texts: list[bytes]) -> list[Piece]:

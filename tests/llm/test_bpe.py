@@ -66,3 +66,18 @@ def test_documents(spark):
     assert {r.decoded_sha256 for r in got if r.doc_id == 2} == {sha("")}
     assert [r.ids for r in got if r.doc_id == 3] == [[50256]]
     assert bpe.encode_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_memory_keeps_what_is_in_use():
+    rng = random.Random(5)
+    words = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600)).encode()
+    shared, others = words(), [words() for _ in range(12)]
+    codec = bpe.ChunkCodec(PATH, chunk_memory=40)
+    want = bpe.ChunkCodec(PATH).encode(shared)
+    codec.encode(shared)
+    for other in others:
+        codec.encode(other)
+        before = codec.encoded_chunks
+        assert codec.encode(shared) == want and codec.encoded_chunks == before  # met again, not encoded again
+        assert len(codec.chunks) <= 40
+    assert codec.encoded_chunks > 40
