@@ -1,25 +1,35 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations alone.
 
-Rules reject texts whose statistic exceeds a cutoff. Cutoffs are not chosen by hand: for
-each stratum (band of text length), rule and cutoff of a fixed grid, the labelled holdouts
-of good quality that the cutoff would reject are counted. A cutoff is certified when the
-exact binomial (Clopper-Pearson) upper bound of its false rejection rate is at most
-alpha / rules, i.e. when P(Bin(n, alpha/rules) <= k) <= delta / (strata * rules * cutoffs): a
-Bonferroni correction over all tests made. The strictest certified cutoff applies; without
-one the rule stays silent. With probability 1 - delta, no stratum loses more than alpha of
-its good texts to the rules.
+Rules reject texts whose statistic exceeds a cutoff. Cutoffs are not chosen by hand. In each
+stratum (band of text length) the labelled texts that pass the base are dealt by a hash of
+doc_id into a planning and a holdout part:
+
+1. Planning orders the steps, a step being a rule with a cutoff of a fixed grid. Steps that
+   reject no text of bad quality beyond the rule's looser cutoff are left out, as are those
+   that reject more than alpha / 5 of the good ones; the others go by the good texts they
+   reject, loose cutoffs first, then by the bad texts they reject.
+2. The holdout tests the steps in that order: step j asks whether rules 1 to j together
+   reject too much. k of the n good holdouts are rejected; the step is certified when the
+   exact binomial (Clopper-Pearson) upper bound of the false rejection rate is at most alpha,
+   i.e. when P(Bin(n, alpha) <= k) <= delta / strata. Testing ends at the first step that
+   is not certified, so that a stratum spends its level once, however many steps it has
+   (fixed-sequence testing; the strata share delta by Bonferroni).
+
+With probability 1 - delta, no stratum loses more than alpha of its good texts to the rules
+taken together. A stratum whose holdout is too small to certify anything keeps the base alone.
 
 Words are runs of characters other than 0x20 and 0x09-0x0D. One scan computes the
 statistics, which are written (ten numbers a row); labels meet those, not the texts.
 
 Defined cases: null texts have no words and fail the base; labels of null or unknown ids
-play no part; several labels of one id count once, the worst one; an empty table gives no
-rows.
+play no part; several labels of one id count once, the worst one; rows of one doc_id are
+judged each, and count each where labelled; ties between steps go to the rule listed first;
+very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -94,20 +104,47 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), k), lambda j: j > 0), F.struct(first.alias("term"), first.alias("total")), step, lambda acc: acc["total"])
 
 
-def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict[tuple[int, str], float]:
+STEPS = [(r, level, c) for r, (_, cuts) in RULES.items() for level, c in enumerate(reversed(cuts))]  # loose first
+
+
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled rows that pass the base: good (boolean), stratum, holdout (two of three, by a hash), and the statistics."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
+    marks = marks.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    held = stats.filter(~base_failed()).join(marks, "doc_id")
+    return held.withColumns({"stratum": stratum(), "holdout": F.pmod(F.xxhash64(F.lit("holdout"), F.col("doc_id")), F.lit(3)) != 0})
+
+
+def planned_steps(held: DataFrame, alpha: float) -> DataFrame:
+    """(stratum, step, place): the steps worth testing in each stratum, numbered from 1 in order of testing."""
+    over = [F.coalesce(F.expr(RULES[r][0]) > c, F.lit(False)) for r, _, c in STEPS]
+    count = lambda hit: F.sum(hit.cast("long"))
+    counts = held.filter("not holdout").groupBy("stratum").agg(count(F.col("good")).alias("n"), *[count(F.col("good") & o).alias(f"g{i}") for i, o in enumerate(over)], *[count(~F.col("good") & o).alias(f"b{i}") for i, o in enumerate(over)])
+    # what a step adds to the looser one of its rule
+    rows = [F.struct(F.lit(i).alias("step"), F.lit(level).alias("level"), F.col(f"g{i}").alias("g"), (F.col(f"b{i}") - (F.col(f"b{i - 1}") if level else F.lit(0))).alias("gain")) for i, (_, level, _) in enumerate(STEPS)]
+    steps = counts.select("stratum", "n", F.explode(F.array(*rows)).alias("x")).select("stratum", "n", "x.*").filter((F.col("gain") > 0) & (F.col("g") <= alpha / 5 * F.col("n")))
+    return steps.select("stratum", "step", F.row_number().over(Window.partitionBy("stratum").orderBy("g", "level", F.desc("gain"), "step")).alias("place"))
+
+
+def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[tuple[int, str], float]:
     """(stratum, rule): the strictest cutoff certified on the labelled texts of good quality."""
-    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
-    good = good.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = stats.filter(~base_failed()).join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
-    tests = [(r, c) for r, (_, cuts) in RULES.items() for c in cuts]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.expr(RULES[r][0]) > c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
-    cells = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.coalesce(F.col(f"k{i}"), F.lit(0)).cast("long").alias("k")) for i, (r, c) in enumerate(tests)])).alias("x")).select("stratum", "n", "x.*")
-    share = alpha / len(RULES)
-    level = delta / ((len(BANDS) + 1) * len(tests))
-    sure = F.when(F.col("k") < share * F.col("n"), log_binomial_cdf(F.col("k"), F.col("n"), share) <= F.log(F.lit(level))).otherwise(False)
-    # at most strata x rules rows
-    rows = cells.filter(sure).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")).collect()
-    return {(r.stratum, r.rule): r.cutoff for r in rows}
+    held = labelled(stats, labels)
+    planned = C.staged(planned_steps(held, alpha), "steps")  # at most strata x steps rows
+    chains = F.broadcast(planned.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("step", "place"))).alias("places")))
+    hits = [F.when(F.expr(RULES[r][0]) > c, F.col("places")[i]) for i, (r, _, c) in enumerate(STEPS)]
+    # a text counts where the first step of the chain rejects it; place null: none does
+    first = held.filter("holdout and good").join(chains, "stratum").groupBy("stratum", F.array_min(F.array(*hits)).alias("place")).agg(F.count("*").alias("k"))
+    sizes = first.groupBy("stratum").agg(F.sum("k").alias("n"))
+    chain = planned.join(sizes, "stratum").join(first, ["stratum", "place"], "left")
+    upto = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    chain = chain.withColumn("k", F.sum(F.coalesce("k", F.lit(0))).over(upto))
+    sure = F.when(F.col("k") < alpha * F.col("n"), log_binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.log(F.lit(delta / (len(BANDS) + 1)))).otherwise(False)
+    chain = chain.withColumn("sure", F.min(sure).over(upto)).filter("sure")
+    out: dict[tuple[int, str], float] = {}
+    for row in chain.collect():  # at most strata x steps rows
+        rule, _, cutoff = STEPS[row.step]
+        out[row.stratum, rule] = min(cutoff, out.get((row.stratum, rule), cutoff))
+    return out
 
 
 def judged(stats: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame:
@@ -117,13 +154,13 @@ def judged(stats: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """One row a document: statistics, base_failed, failed_rules, kept."""
     stats = C.staged(statistics(docs), "statistics")
     return judged(stats, certified_cutoffs(stats, labels, alpha, delta))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     stats = C.staged(statistics(docs, carry=True), "statistics")
     return judged(stats, certified_cutoffs(stats, labels, alpha, delta)).filter("kept").select(*C.given_back(docs.columns))
