@@ -2,9 +2,8 @@
 
 Cut points depend on the last 24 bytes only, so an insertion shifts no cut but those
 around it. A chunk whose 128-bit digest also occurs in a document with a smaller id is a
-duplicate; runs of duplicate chunks of at least `min_run` bytes are removed, and a run that
-is the whole text whatever its length. Only a text's last chunk is shorter than 20 bytes, so
-with `min_run` 20 no duplicate chunk stays but such an end behind a chunk of the text's own.
+duplicate, and every duplicate chunk is removed. Chunks have 20 bytes or more, but for texts
+that are shorter as a whole: what is left at a text's end joins the chunk before it.
 
 Plan: documents are dealt into groups of about 4 MB by a hash of doc_id. Each group asks,
 once for each distinct digest, who owns it; the askers of a digest meet in the digest's
@@ -13,7 +12,8 @@ share costs its bucket one row a group. A group sends no row to a bucket it has
 for, so rows never exceed digests and the exchange grows linearly with the text.
 
 Defined cases: a null text counts as empty and loses nothing; a null doc_id counts as the
-largest id; rows of equal doc_id never remove each other's text; an empty table gives no rows.
+largest id; rows of equal doc_id never remove each other's text; very long texts are chunked
+whole, in one task each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ def cut_points(text: bytes, shortest: int = 20, bits: int = 4, longest: int = 12
         last += longest
         cuts.append(last)
     if last < n:
+        if cuts and n - last < shortest:
+            cuts.pop()
         cuts.append(n)
     return cuts
 
@@ -87,7 +89,7 @@ def _ids(rows) -> np.ndarray:
     return np.array([C.NO_ID if i is None else i for i, _ in rows], np.int64)
 
 
-def remove_duplicate_chunks(docs: DataFrame, min_run: int = 20, within: bool = False, keep_text: bool = False, **params) -> DataFrame:
+def remove_duplicate_chunks(docs: DataFrame, within: bool = False, keep_text: bool = False, **params) -> DataFrame:
     """One row a document: what is left of it after its duplicate chunks are gone.
 
     within: a chunk's later copies in the same document are duplicates, too.
@@ -144,9 +146,7 @@ def remove_duplicate_chunks(docs: DataFrame, min_run: int = 20, within: bool = F
             mask = np.zeros(len(text), bool)
             from_, to = C.spans_of(duplicate[a:b])
             for x, y in zip(from_, to):
-                s, e = start[a + x], end[a + y - 1]
-                if e - s >= min_run or e - s == len(text):
-                    mask[s:e] = True
+                mask[start[a + x] : end[a + y - 1]] = True
             spans, removed = C.spans_of(mask), int(mask.sum())
             kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if removed else text
             texts.append(kept)
