@@ -1,22 +1,33 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; everything else a sample of the texts holds,
-toxic or not, is unlabelled. A linear classifier over word presence minimises the
-class-prior-corrected risk  p R+(positives) + max(0, R-(unlabelled) - p R-(positives)),
-where a negative bracket is climbed instead of followed (numpy, full batches, Adam).
-p is the share of toxic rows among the labels that may be learned from.
-
-Fitting takes at most `positives` + `unlabelled` texts (the documented bound): the rows of
-smallest hash. They are picked by id, a bounded broadcast, and only hashes of their words
-reach the driver. Scoring is one scan without a shuffle, with a table of 2**20 weights.
-
-Defined cases: null and wordless texts score by the bias alone; without positives all score
-the class prior, 0; labels of null or unknown ids play no part; an empty table gives no rows.
+Confirmed toxic texts are the positives; all texts that may be learned from, toxic or not, are
+unlabelled. A linear classifier minimises the class-prior-corrected risk
+p R+(positives) + max(0, R-(unlabelled) - p R-(positives)), where a negative bracket is
+climbed instead of followed (numpy, full batches, Adam). p is the share of toxic rows among
+the labels that may be learned from.
+
+Features are the presence of words and of the beginnings of words (3 to 7 characters), hashed to
+2**20 slots, and the length of the text by powers of two, so that long texts need more evidence. Columns are the slots that enough positives have and whose share of positives
+differs from that of all unlabelled texts by `least_z` standard errors; the most telling
+`columns` of them, and those of lengths.
+
+Positives are at most `positives` labelled texts (the documented bound), of smallest hash.
+Nothing else is sampled: one scan writes the columns of every text, whose counts and, in each
+of `passes` steps, whose risk and gradient are added up over partitions by column. The steps
+start from a fit to `first` unlabelled rows. At last the bias is set so that the mean score of
+the unlabelled rows is the prior. Scores come from the written columns, so that
+texts are read once, and the positives' once more.
+
+Defined cases: null, empty and wordless texts score by the bias alone; without positives all score
+the class prior, 0; labels of null or unknown ids play no part; several labels of one id count
+once, the worst one; rows of one doc_id are scored each and learned from each; very long texts
+are read whole; ties of hashes go by doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,35 +39,64 @@ from . import common as C
 from .decontaminate import words_of
 
 SLOTS = 1 << 20
+LENGTHS = SLOTS  # the slots of lengths follow those of words
 
 
 class Slots(dict):
-    """Slots of words, remembered within bounds."""
+    """Slots of a word and of its beginnings, remembered within bounds."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) > 200_000:
             self.clear()
-        s = self[word] = xxhash.xxh3_64_intdigest(word) & (SLOTS - 1)
+        text = word.decode("utf-8", "replace")
+        found = {xxhash.xxh3_64_intdigest(word) & (SLOTS - 1)}
+        for n in range(3, min(len(text), 8)):
+            found.add(xxhash.xxh3_64_intdigest(text[:n].encode(), 1) & (SLOTS - 1))
+        s = self[word] = list(found)
         return s
 
 
 def slots_of(text: bytes, memo: Slots) -> np.ndarray:
-    """Distinct slots of the words of a text."""
+    """Distinct slots of the words of a text, and that of its length: LENGTHS plus the binary digits of the number of its distinct words."""
     words = set(words_of(text.lower()))
-    return np.unique(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
+    return np.append(np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)), np.int32(LENGTHS + min(len(words).bit_length(), 31)))
 
 
-def presence(docs: DataFrame) -> DataFrame:
-    """doc_id and the packed slots of each text."""
+def presence(docs: DataFrame, column: np.ndarray | None = None) -> DataFrame:
+    """doc_id and the packed slots of each text; with column (its number for each slot, or -1), the packed numbers."""
+    told = None if column is None else docs.sparkSession.sparkContext.broadcast(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Slots()
+        memo, place = Slots(), None if told is None else told.value
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "slots": pa.array([slots_of(t, memo).tobytes() for t in C.texts_of(batch.column(1))], pa.binary())})
+            found = (slots_of(t, memo) for t in C.texts_of(batch.column(1)))
+            if place is not None:
+                found = (p[p >= 0] for p in (place[s] for s in found))
+            yield pa.record_batch({"doc_id": batch.column(0), "slots": pa.array([f.tobytes() for f in found], pa.binary())})
 
     return docs.mapInArrow(run, "doc_id long, slots binary")
 
 
+def packed_rows(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int32) for b in batch.column("slots").to_pylist()]
+
+
+def added_up(rows: DataFrame, size: int, f: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of f(packed rows), a vector of `size`; partitions add up before the exchange, which deals by element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += f(packed_rows(batch))
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "v": pa.array(total[at], pa.float64())})
+
+    got = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -66,7 +106,7 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], columns: int):
         self.size = np.array([len(r) for r in rows], np.int64)
-        self.at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.at = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
         self.row = np.repeat(np.arange(len(rows)), self.size)
         self.shape = len(rows), columns
 
@@ -77,69 +117,128 @@ class Sparse:
         return np.bincount(self.at, v[self.row], self.shape[1])
 
 
-def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk under the logistic loss."""
-    k = positive.shape[1]
-    w = np.zeros(k + 1)
-    w[k] = np.log(prior / (1 - prior))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    np_, nu = positive.shape[0], unlabelled.shape[0]
+class Risk:
+    """The non-negative PU risk of weights and bias (last), and its gradient, from sums over the unlabelled rows."""
+
+    def __init__(self, positive: Sparse, prior: float, ridge: float = 1e-3):
+        self.positive, self.prior, self.ridge = positive, prior, ridge
+        self.n, self.k = positive.shape
+
+    def unlabelled(self, rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+        """Over some unlabelled rows: the gradient's sum, the loss's sum, the number of rows."""
+        x = Sparse(rows, self.k)
+        s = sigmoid(x.times(w[:-1]) + w[-1])
+        return np.concatenate((x.transposed_times(s), [s.sum(), -np.log(np.maximum(1 - s, 1e-12)).sum(), len(rows)]))
+
+    def of(self, w: np.ndarray, sums: np.ndarray) -> tuple[float, np.ndarray]:
+        s = sigmoid(self.positive.times(w[:-1]) + w[-1])
+        n = max(sums[-1], 1)
+        with_bias = lambda d: np.append(self.positive.transposed_times(d), d.sum())
+        bracket = sums[-2] / n + self.prior * np.mean(np.log(np.maximum(1 - s, 1e-12)))
+        low = sums[:-2] / n - self.prior * with_bias(s / self.n)
+        gradient = with_bias(-(1 - s) * self.prior / self.n) + (low if bracket >= 0 else -low)
+        gradient[:-1] += self.ridge * w[:-1] / self.n**0.5
+        loss = -self.prior * np.mean(np.log(np.maximum(s, 1e-12))) + max(bracket, 0.0) + self.ridge * (w[:-1] ** 2).sum() / 2 / self.n**0.5
+        return loss, gradient
+
+
+def descended(risk: Risk, w: np.ndarray, sums: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:
+    """Of `steps` Adam steps from w, the weights of least risk."""
+    m, v, best = np.zeros_like(w), np.zeros_like(w), (np.inf, w)
     for t in range(1, steps + 1):
-        sp, su = sigmoid(positive.times(w[:k]) + w[k]), sigmoid(unlabelled.times(w[:k]) + w[k])
-        bracket = np.mean(-np.log(np.maximum(1 - su, 1e-12))) - prior * np.mean(-np.log(np.maximum(1 - sp, 1e-12)))
-        # derivatives by the margins: of R+ on positives, and of the bracket on both
-        plus = -(1 - sp) * prior / np_
-        low_p, low_u = -prior * sp / np_, su / nu
-        dp, du = (plus + low_p, low_u) if bracket >= -beta else (-low_p, -low_u)
-        g = np.append(positive.transposed_times(dp) + unlabelled.transposed_times(du), dp.sum() + du.sum())
-        g[:k] += ridge * w[:k] / max(np_, 1) ** 0.5
+        loss, g = risk.of(w, sums(w))
+        if loss < best[0]:
+            best = loss, w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:k], float(w[k])
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return best[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = 4000, unlabelled: int = 8000, seen: int = 4) -> tuple[np.ndarray, float]:
-    """A weight for each slot, and the bias. allowed: which rows of labels may be learned from."""
+def learned(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = 4000, first: int = 8000, seen: int = 4, columns: int = 4096, least_z: float = 4.0, passes: int = 8) -> tuple[DataFrame | None, np.ndarray]:
+    """The columns of every text (doc_id, slots), and a weight for each column and the bias; None without positives.
+
+    allowed: which rows may be learned from.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(allowed)
-    weights = np.zeros(SLOTS)
     shares = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     if not shares.n or not shares.p:
-        return weights, -40.0
+        return None, np.array([-40.0])
     prior = min(max(shares.p / shares.n, 1e-4), 0.9)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = marks.filter("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    others = docs.select("doc_id").filter("doc_id is not null").filter(allowed).orderBy(*order).limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    # at most positives + unlabelled ids
-    picked = docs.join(F.broadcast(chosen.unionByName(others).groupBy("doc_id").agg(F.max("positive").alias("p"), F.min("positive").alias("q"))), "doc_id")
-    rows = C.staged(presence(picked.select("doc_id", "text")), "presence").join(F.broadcast(chosen.unionByName(others)), "doc_id").select("slots", "positive").toLocalIterator()
-    sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for r in rows:
-        sets[r.positive].append(np.frombuffer(bytes(r.slots), np.int32))
-    if not sets[True] or not sets[False]:
-        return weights, -40.0
-    common = np.bincount(np.concatenate(sets[True]), minlength=SLOTS)
-    columns = np.flatnonzero(common >= max(seen, len(sets[True]) // 500))
-    place = np.full(SLOTS, -1)
-    place[columns] = np.arange(len(columns))
-    pick = lambda rows: Sparse([p[p >= 0] for p in (place[r] for r in rows)], len(columns))
-    w, bias = fit_nnpu(pick(sets[True]), pick(sets[False]), prior)
-    weights[columns] = w
-    return weights, bias
+    chosen = marks.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")  # at most `positives` ids
+    picked = presence(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    confirmed = packed_rows_of(picked.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(positives))  # rows of one id may be many
+    if not confirmed:
+        return None, np.array([-40.0])
+    count = np.bincount(np.concatenate(confirmed), minlength=SLOTS + 32)
+    able = np.flatnonzero(count >= max(seen, len(confirmed) // 500))
+    place = np.full(SLOTS + 32, -1, np.int32)
+    place[able] = np.arange(len(able))
+    every = C.staged(presence(docs, place), "presence")
+    free = every.filter("doc_id is not null").filter(allowed)
+    size = len(able)
+    counts = added_up(free, size + 1, lambda rows: np.append(np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size), len(rows)))
+    base = (counts[:-1] + 1) / (counts[-1] + 2)
+    z = (count[able] / len(confirmed) - base) / np.sqrt(base * (1 - base) / len(confirmed))
+    order = np.argsort(-np.abs(z), kind="stable")[:columns]
+    order = np.union1d(order[np.abs(z[order]) >= least_z], np.flatnonzero(able >= LENGTHS))
+    column = np.full(size, -1, np.int32)
+    column[order] = np.arange(len(order))
+    every = C.staged(renumbered(every, column), "columns")
+    free = every.filter("doc_id is not null").filter(allowed)
+    pick = lambda rows, at: [p[p >= 0] for p in (at[r] for r in rows)]
+    risk = Risk(Sparse(pick(pick(confirmed, place), column), len(order)), prior)
+    some = packed_rows_of(free.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(first))
+    start = np.append(np.zeros(len(order)), np.log(prior / (1 - prior)))
+    w = descended(risk, start, lambda w: risk.unlabelled(some, w), 300, 0.05)
+    w = descended(risk, w, lambda w: added_up(free, len(w) + 2, lambda rows: risk.unlabelled(rows, w)), passes, 0.02)
+    margins = added_up(free, len(EDGES) + 1, lambda rows: np.bincount(np.searchsorted(EDGES, Sparse(rows, len(w) - 1).times(w[:-1]) + w[-1]), minlength=len(EDGES) + 1))
+    w[-1] += prior_shift(margins, prior)
+    return every, w
+
+
+#: Where the histogram of margins is cut.
+EDGES = np.linspace(-40, 40, 8001)
+
+
+def prior_shift(histogram: np.ndarray, prior: float) -> float:
+    """What to add to all margins so that the mean score over the unlabelled rows is the prior."""
+    middle = np.append(EDGES, EDGES[-1]) - (EDGES[1] - EDGES[0]) / 2
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        at = (low + high) / 2
+        low, high = (low, at) if (sigmoid(middle + at) * histogram).sum() > prior * histogram.sum() else (at, high)
+    return low
+
+
+def renumbered(rows: DataFrame, column: np.ndarray) -> DataFrame:
+    """Packed rows with column[number] for each number, without those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = (p[p >= 0] for p in (column[r] for r in packed_rows(batch)))
+            yield pa.record_batch({"doc_id": batch.column(0), "slots": pa.array([p.tobytes() for p in left], pa.binary())})
+
+    return rows.mapInArrow(run, "doc_id long, slots binary")
+
+
+def packed_rows_of(rows: DataFrame) -> list[np.ndarray]:
+    """The packed rows of a bounded table, on the driver."""
+    return [np.frombuffer(b, np.int32) for b in rows.select("slots").toArrow().column("slots").to_pylist()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> DataFrame:
     """doc_id and score (0 to 1) for each row."""
     docs = C.id_text(docs)
-    weights, bias = fit(docs, labels, allowed, **options)
-    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    rows, w = learned(docs, labels, allowed, **options)
+    if rows is None:
+        return docs.select("doc_id", F.lit(float(sigmoid(w)[0])).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (w, b) = Slots(), model.value
         for batch in batches:
-            margins = np.array([w[slots_of(t, memo)].sum(dtype=np.float64) + b for t in C.texts_of(batch.column(1))])
+            margins = Sparse(packed_rows(batch), len(w) - 1).times(w[:-1]) + w[-1]
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(sigmoid(margins), pa.float64())})
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def fold(by: int) -> Column:
