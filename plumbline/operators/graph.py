@@ -7,22 +7,16 @@ stays as deep as one round. Nothing but the exact-order walk of one start is col
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..staging import staged
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="plumbline-"))
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, "graph")
 
 
 def edges_of(claims: DataFrame) -> DataFrame:
@@ -39,13 +33,16 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     Semi-naive: each round joins the last round's members with the edges that cite them.
     """
     pairs = cut(edges.select(F.col("source").alias("member"), "key").distinct())
-    known = frontier = cut(starts.select("start", F.col("start").alias("member")).distinct())
+    rounds = [cut(starts.select("start", F.col("start").alias("member")).distinct())]
     while True:
-        reached = frontier.select("start", F.col("member").alias("key")).join(pairs, "key").select("start", "member").distinct()
+        if len(rounds) > 16:  # a round's rows are written again once in 16 rounds, which keeps plans short
+            rounds = [cut(reduce(DataFrame.unionByName, rounds[:-1])), rounds[-1]]
+        known = reduce(DataFrame.unionByName, rounds)
+        reached = rounds[-1].select("start", F.col("member").alias("key")).join(pairs, "key").select("start", "member").distinct()
         frontier = cut(reached.join(known, ["start", "member"], "left_anti"))
         if frontier.isEmpty():
             return known.filter("member <> start")
-        known = cut(known.unionByName(frontier))
+        rounds.append(frontier)
 
 
 def degrees(claims: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,19 +66,20 @@ def walk(edges: list[tuple[str, str]], start: str) -> tuple[list[str], list[tupl
     citers: dict[str, list[str]] = {}
     for source, key in edges:
         citers.setdefault(key, []).append(source)
-    found, cycles, seen, path = [], [], {start}, [start]
+    found, cycles, seen, path, on_path = [], [], {start}, [start], {start}
     stack = [iter(citers.get(start, ()))]
     while stack:
         for source in stack[-1]:
-            if source in path:
+            if source in on_path:
                 cycles.append((source, path[-1]))
             elif source not in seen:
                 seen.add(source)
                 found.append(source)
                 path.append(source)
+                on_path.add(source)
                 stack.append(iter(citers.get(source, ())))
                 break
         else:
             stack.pop()
-            path.pop()
+            on_path.discard(path.pop())
     return found, cycles
