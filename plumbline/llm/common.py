@@ -1,41 +1,18 @@
-"""Shared parts of the corpus operators: staging, sizing, text access, rolling hashes."""
+"""Shared parts of the corpus operators: sizing, text access, rolling hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged as staged
+
 #: Text that one group of documents holds in a Python worker, about.
 GROUP_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests) one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="plumbline-"))
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """About how many bytes of text docs holds: from the file sizes, or by a sum where the plan has no figure."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -9,7 +9,9 @@ One scan computes the statistics and writes them (18 numbers a row); labels meet
 Fitting takes at most `rows` labelled rows (the documented bound), of smallest hash.
 
 Defined cases: null and empty texts have statistics like any others; without labels of both
-classes every score is the share of label 1, or one half; an empty table gives no rows.
+classes every score is the share of label 1, or one half; several labels of one id count once,
+the worst one; rows of one doc_id are scored each and learned from each, within the bound; very
+long texts are read whole; ties of hashes go by doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,7 +127,8 @@ def quality(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = 20_
     stats = C.staged(statistics(C.id_text(docs)), "qstatistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(allowed)
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality", "x").select("x", "quality").toArrow()
+    picked = stats.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows)  # rows of one id may be many
+    got = picked.orderBy("doc_id", "quality", "x").select("x", "quality").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, WIDTH)
     model = stats.sparkSession.sparkContext.broadcast(fitted(x, np.array(got.column("quality").to_pylist(), int)))
 
