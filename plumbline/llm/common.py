@@ -52,8 +52,8 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id, text and g, the group of a row: rows of one text and id stay together."""
-    return id_text(docs).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    """doc_id, text and g, the group of a row: by id and text, so that rows of one id, or of none, spread."""
+    return id_text(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
 
 def rows_of(table: pa.Table) -> list[tuple[int | None, bytes]]:

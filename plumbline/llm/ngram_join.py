@@ -1,6 +1,7 @@
 """N-gram Jaccard join: documents whose word-shingle sets reach a similarity, by T-occurrence search.
 
-1. Texts that are equal form a class, of which the smallest doc_id goes on.
+1. Texts that are equal form a class, of which one row of the smallest doc_id goes on. Classes
+   are numbered; the numbers are the nodes of all that follows.
 2. By the prefix theorem two sets that reach the threshold t share at least l of the first
    n - ceil(t n) + l shingles of any order; here l is a tenth of the set, the order that of
    the hashes. Groups of documents ask which of these other documents have, and send a
@@ -12,16 +13,22 @@
 4. Each cluster is searched by DivideSkip: of a document's lists the needed - 1 longest
    stay aside, the short ones are heap-merged, and members that occur in them are counted
    on by bisection in the long ones until they reach the overlap or cannot any more.
-   Members that are known to be connected are not probed again. A cluster of more than
-   `block` documents is split into blocks, each searched against each.
-5. Components of the links, by hooking and jumping over DataFrames.
+   Members that are known to be connected are not probed again.
+5. A cluster of more than `block` documents is split into blocks. First each block is searched
+   by the cluster's `leaders`; the members that this connects in the largest number are
+   settled. Then blocks of the others ask all blocks. Near copies of one text are settled by
+   its leaders, so that a cluster of them costs one reading a member, however large it is.
+6. Components of the links, by hooking and jumping over DataFrames.
 
-No list is expanded into pairs, and what a group or cell holds is bounded.
+No list is expanded into pairs, and what a group or cell holds is bounded. Keys that many rows
+may share are split: lists of a shingle, by member; equal texts, by a broadcast of the classes
+that hold more than one row in `SHARE` (fewer than `SHARE`, therefore).
 
 Defined cases: null and blank texts have empty sets and link with nothing; a null doc_id
-counts as the largest id; rows of one doc_id are one node; an empty table gives no rows.
-Shingles are hashed to 48 bits: the overlap of two sets is wrong with a chance of about
-|x| |y| / 2**48.
+counts as the largest id; rows of one doc_id and different texts are nodes of their own; equal
+rows are told alike; ties of leaders go by number; very long texts are read whole, in one task
+each; an empty table gives no rows. Shingles are hashed to 48 bits: the overlap of two sets is
+wrong with a chance of about |x| |y| / 2**48.
 """
 
 from __future__ import annotations
@@ -181,44 +188,47 @@ def _texts(table: pa.Table) -> list[tuple[int, bytes, bytes]]:
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, groups: int, k: int, percent: int) -> DataFrame:
-    """digest, doc, n for each class, and keys: all its shingles if it may have a partner, else null."""
+    """node and n for each class, and keys: all its shingles if it may have a partner, else null."""
     buckets = max(1, groups // 2)
-    by = C.grouped(docs, groups).groupBy("g")
-    g = F.pmod(F.xxhash64(F.when(F.col("doc") != C.NO_ID, F.col("doc"))), F.lit(groups)).cast("int").alias("g")
-    named = classes.select(g, F.lit(True).alias("named"), F.concat(F.unhex(F.lpad(F.hex("doc"), 16, "0")), "digest").alias("payload"))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    dealt = lambda doc, digest: F.pmod(F.xxhash64(doc, digest), F.lit(groups)).cast("int").alias("g")
+    by = docs.select("*", dealt(F.coalesce("doc_id", F.lit(C.NO_ID)), digest)).groupBy("g")
+    long = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    named = classes.select(dealt(F.col("doc"), F.col("digest")), F.lit(True).alias("named"), F.concat(long("doc"), "digest", long("node")).alias("payload"))
 
-    def own(table: pa.Table, side: pa.Table) -> list[tuple[int, bytes, np.ndarray]]:
-        names = {p for p, is_name in zip(side.column("payload").to_pylist(), side.column("named").to_pylist()) if is_name}
-        return [(i, d, shingle_set(t, k)) for i, d, t in _texts(table) if i.to_bytes(8, "big") + d in names]
+    def own(table: pa.Table, side: pa.Table) -> list[tuple[int, np.ndarray]]:
+        names = {p[:24]: int.from_bytes(p[24:], "big") for p, is_name in zip(side.column("payload").to_pylist(), side.column("named").to_pylist()) if is_name}
+        found = ((names.get(i.to_bytes(8, "big") + d), t) for i, d, t in _texts(table))
+        return [(node, shingle_set(t, k)) for node, t in found if node is not None]
 
     def ask(table: pa.Table, side: pa.Table) -> pa.Table:
-        parts = [first_shingles(h, percent) for _, _, h in own(table, side)] if table.num_rows else []
+        parts = [first_shingles(h, percent) for _, h in own(table, side)] if table.num_rows else []
         return C.ask_keys(table.column("g")[0].as_py() if parts else 0, np.concatenate([np.empty(0, np.uint64), *parts]), buckets)
 
     def keep(table: pa.Table, side: pa.Table) -> pa.Table:
         rows = own(table, side) if table.num_rows else []
-        first = [first_shingles(h, percent) for _, _, h in rows]
+        first = [first_shingles(h, percent) for _, h in rows]
         every, count = np.unique(np.concatenate([np.empty(0, np.uint64), *first]), return_counts=True)
         told = [C.unpack48(p) for p, is_name in zip(side.column("payload").to_pylist(), side.column("named").to_pylist()) if not is_name]
         known = np.unique(np.concatenate([every[count > 1], *told]))
         keys = []
-        for (_, _, h), f in zip(rows, first):
+        for (_, h), f in zip(rows, first):
             p = np.searchsorted(known, f)
             p[p == len(known)] = 0
             shared = int((known[p] == f).sum()) if len(known) else 0
             # a partner has least_overlap(n) elements or more, and shares as many lists as that size asks for
             keys.append(C.pack48(h) if len(h) and shared >= lists_needed(least_overlap(len(h), percent)) else None)
-        return pa.table({"digest": pa.array([d for _, d, _ in rows], pa.binary()), "doc": pa.array([i for i, _, _ in rows], pa.int64()), "n": pa.array([len(h) for _, _, h in rows], pa.int64()), "keys": pa.array(keys, pa.binary())})
+        return pa.table({"node": pa.array([i for i, _ in rows], pa.int64()), "n": pa.array([len(h) for _, h in rows], pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     asked = by.cogroup(named.groupBy("g")).applyInArrow(ask, "bucket int, g int, payload binary")
     told = asked.groupBy("bucket").applyInArrow(C.shared_keys, "g int, payload binary").select("g", F.lit(False).alias("named"), "payload")
-    return by.cogroup(told.unionByName(named).groupBy("g")).applyInArrow(keep, "digest binary, doc long, n long, keys binary")
+    return by.cogroup(told.unionByName(named).groupBy("g")).applyInArrow(keep, "node long, n long, keys binary")
 
 
 def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
-    """doc, n, keys that other documents of sets have too, and lists (longs): the rarest, that any partner shares one of."""
+    """node, n, keys that other documents of sets have too, and lists (longs): the rarest, that any partner shares one of."""
     buckets = max(1, groups // 2)
-    by = sets.select("doc", "n", "keys", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int").alias("g")).groupBy("g")
+    by = sets.select("node", "n", "keys", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("g")).groupBy("g")
 
     def counts_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         keys = [C.unpack48(p) for p in table.column("keys").to_pylist()]
@@ -247,13 +257,13 @@ def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
         return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     def keep(table: pa.Table, told: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"doc": [], "n": [], "keys": [], "lists": []}
+        out: dict[str, list] = {"node": [], "n": [], "keys": [], "lists": []}
         parts = [split(p) for p in told.column("payload").to_pylist()]
         if parts and table.num_rows:
             keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
-            for doc, n, packed in zip(table.column("doc").to_pylist(), table.column("n").to_pylist(), table.column("keys").to_pylist()):
+            for node, n, packed in zip(table.column("node").to_pylist(), table.column("n").to_pylist(), table.column("keys").to_pylist()):
                 own = C.unpack48(packed)
                 p = np.searchsorted(keys, own)
                 p[p == len(keys)] = 0
@@ -261,47 +271,120 @@ def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
                 own, c = own[shared], counts[p[shared]]
                 more = len(own) - least_overlap(n, percent) + 1  # as many of the rarest; the unshared are rarer
                 if more > 0:
-                    for k, v in zip(out, (doc, n, C.pack48(own), own[np.lexsort((own, c))[:more]].view(np.int64))):
+                    for k, v in zip(out, (node, n, C.pack48(own), own[np.lexsort((own, c))[:more]].view(np.int64))):
                         out[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
     told = by.applyInArrow(ask, "bucket int, g int, payload binary").groupBy("bucket").applyInArrow(answer, "g int, payload binary")
-    return by.cogroup(told.groupBy("g")).applyInArrow(keep, "doc long, n long, keys binary, lists array<long>")
+    return by.cogroup(told.groupBy("g")).applyInArrow(keep, "node long, n long, keys binary, lists array<long>")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row.
+#: A key with more than one row in SHARE is hot: it is dealt apart from the others.
+SHARE = 1000
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets.
-    """
+
+def connected(lists: DataFrame, salts: int = 32) -> DataFrame:
+    """(node, label) of nodes that lists (node, h) connect. A list is joined in parts, by its members; its parts meet in their smallest nodes."""
+    parts = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(salts)))
+    least = C.staged(parts.groupBy("h", "part").agg(F.min("node").alias("v")), "least")
+    of_list = least.groupBy("h").agg(F.min("v").alias("u"))
+    links = parts.join(least, ["h", "part"]).select(F.col("node").alias("u"), "v").unionByName(least.join(of_list, "h").select("u", "v"))
+    return components(links)  # which leaves out nodes that only meet themselves
+
+
+def searched(cells: DataFrame, sets: DataFrame, percent: int, groups: int) -> DataFrame:
+    """Links (u, v) of cells (label, i, j, node, asks, answers): in each, what asks is searched for in what answers."""
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending")])
+        ids, sizes = table.column("node").to_pylist(), table.column("n").to_numpy()
+        asks, answers = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "answers"))
+        keys = [C.unpack48(p) for p in table.column("keys").to_pylist()]
+        pairs = [(ids[a], ids[b]) for a, b in connect(keys, sizes, asks, answers, percent)] if len(asks) and len(answers) else []
+        return pa.table({"u": pa.array([min(p) for p in pairs], pa.int64()), "v": pa.array([max(p) for p in pairs], pa.int64())})
+
+    # as many tasks as the text has groups: the search takes time, not bytes, and must not be coalesced by size
+    once = cells.groupBy("label", "i", "j", "node").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
+    return once.join(sets.select("node", "n", "keys"), "node").repartition(groups, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long")
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, groups: int, block: int, leaders: int) -> DataFrame:
+    """Links (u, v) that connect what links connect in clusters (node, label)."""
+    yes, no, number = F.lit(True), F.lit(False), lambda c, n: F.pmod(F.xxhash64(c), n)
+    large = C.staged(clusters.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block)), "large")
+    small = clusters.join(large, "label", "left_anti").select("label", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", yes.alias("asks"), yes.alias("answers"))
+    links = C.staged(searched(small, sets, percent, groups), "links")
+    if large.isEmpty():
+        return links
+    members = C.staged(clusters.join(large, "label").withColumn("own", number("node", F.col("blocks"))), "members")
+    # a block's own candidates first, so that no task sorts a whole cluster
+    first = lambda rows, key: rows.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("c")), 1, leaders).alias("c"))
+    chosen = first(members.groupBy("label", "own", number("node", F.lit(leaders)).alias("k")).agg(F.min("node").alias("c")).groupBy("label", "k").agg(F.min("c").alias("c")), ["label"])
+    everywhere = large.join(chosen, "label").select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "c").select("label", "j", F.explode("c").alias("node"))
+    led = members.select("label", F.col("own").alias("j"), "node", no.alias("asks"), yes.alias("answers")).unionByName(everywhere.select("label", "j", "node", yes.alias("asks"), yes.alias("answers")))
+    links = links.unionByName(C.staged(searched(led.withColumn("i", F.lit(-1).cast("long")), sets, percent, groups), "led"))
+    found = components(links.join(members.select(F.col("node").alias("u")), "u", "left_semi")).withColumnRenamed("label", "part")
+    parted = C.staged(members.join(found, "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
+    largest = parted.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("settled"))
+    parted = C.staged(parted.join(largest, "label").withColumn("open", F.col("part") != F.col("settled")), "open")
+    rest = C.staged(parted.groupBy("label").agg(F.ceil(F.count_if("open") / block).alias("askers")).filter("askers > 0"), "askers")
+    parted = parted.join(rest, "label")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asks = parted.filter("open").select("label", number("node", F.col("askers")).alias("i"), upto(F.col("blocks")).alias("j"), "node", yes.alias("asks"), no.alias("answers"))
+    answers = parted.select("label", upto(F.col("askers")).alias("i"), F.col("own").alias("j"), "node", no.alias("asks"), yes.alias("answers"))
+    return links.unionByName(C.staged(searched(asks.unionByName(answers), sets, percent, groups), "rest"))
+
+
+def joined(docs: DataFrame, k: int, percent: int, block: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc, digest) of each row, and (digest, doc, rows, n_shingles, component_id, chosen) of each class; chosen: the one of its component that stands for it."""
     docs = C.id_text(docs)
     groups = C.group_count(docs)
     marks = C.staged(docs.select("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID)).alias("doc"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")), "marks")
-    classes = C.staged(marks.groupBy("digest").agg(F.min("doc").alias("doc")), "classes")
+    classes = C.staged(marks.groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()), "classes")
     found = C.staged(candidate_sets(docs, classes, groups, k, percent), "classsets")
     sets = C.staged(counted_sets(found.filter("keys is not null"), max(1, groups // 4), percent), "sets")
+    clusters = connected(C.staged(sets.select("node", F.explode("lists").alias("h")), "lists"))
+    labels = components(cluster_links(clusters, sets, percent, groups, block, leaders))
+    of_class = classes.join(found.select("node", F.col("n").alias("n_shingles")), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_class = C.staged(of_class, "ofclass")
+    least = of_class.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("least"))
+    return marks, C.staged(of_class.join(least, "label").select("digest", "doc", "rows", "n_shingles", F.col("least.doc").alias("component_id"), (F.col("node") == F.col("least.node")).alias("chosen")), "components")
 
-    lists = C.staged(sets.select("doc", F.explode("lists").alias("h")), "lists")
-    least = lists.groupBy("h").agg(F.min("doc").alias("v"))
-    clusters = components(lists.join(least, "h").select(F.col("doc").alias("u"), "v"))
-    share = clusters.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = clusters.join(share, "label").select(F.col("node").alias("doc"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
-    # of blocks i <= j, i asks and j answers; a block of one cell is both
-    cells = members.withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = C.staged(cells.select("label", F.least("own", "each").alias("i"), F.greatest("own", "each").alias("j"), "own", "doc"), "cells")
 
-    def linked(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        table = table.sort_by([("doc", "ascending"), ("n", "ascending")])
-        ids, own, sizes = table.column("doc").to_pylist(), table.column("own").to_numpy(), table.column("n").to_numpy()
-        keys = [C.unpack48(p) for p in table.column("keys").to_pylist()]
-        pairs = [(ids[a], ids[b]) for a, b in connect(keys, sizes, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)] if (own == i).any() and (own == j).any() else []
-        return pa.table({"u": pa.array([min(p) for p in pairs], pa.int64()), "v": pa.array([max(p) for p in pairs], pa.int64())})
+def with_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows (digest, ...) with the columns of their classes; classes of more than total / SHARE rows, fewer than SHARE of them, are broadcast."""
+    hot = F.col("rows") * SHARE > total
+    hot_classes = F.broadcast(classes.filter(hot))
+    return rows.join(hot_classes, "digest").unionByName(rows.join(hot_classes.select("digest"), "digest", "left_anti").join(classes.filter(~hot), "digest"))
 
-    # as many tasks as the text has groups: the search takes time, not bytes, and must not be coalesced by size
-    links = C.staged(cells.join(sets.select("doc", "n", "keys"), "doc").repartition(groups, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long"), "links")
-    labels = components(links)
-    of_class = C.staged(found.select("digest", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("of_class")), "components")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("of_class"))
-    return marks.join(of_class, "digest").select("doc_id", "n_shingles", F.when(component != C.NO_ID, component).alias("component_id"))
+
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 256, leaders: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets.
+    """
+    marks, classes = joined(docs, k, percent, block, leaders)
+    rows = with_class(marks.select("doc_id", F.col("doc").alias("own"), "digest"), classes, marks.count())
+    component = F.when(F.col("n_shingles") == 0, F.col("own")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when(component != C.NO_ID, component).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 256, leaders: int = 8) -> DataFrame:
+    """docs with one row of each component, of the smallest doc_id; rows without words all stay.
+
+    Rows are told apart by doc_id and text, so that rows of one id, or of none, go each by its own text;
+    of rows equal in both any one stays.
+    """
+    marks, classes = joined(docs, k, percent, block, leaders)
+    rows = with_class(marks.select(F.col("doc").alias("own"), "digest"), classes, marks.count()).filter("n_shingles > 0")
+    stands = F.col("chosen") & (F.col("own") == F.col("doc"))
+    counted = C.staged(rows.groupBy("own", "digest").agg(F.first(stands).alias("stands"), F.count("*").alias("c")).filter("not stands or c > 1"), "counted")
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    keyed = docs.select(*C.carried(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("own"), digest.alias("digest"))
+    gone = counted.select("own", "digest")
+    left = keyed.join(gone.hint("shuffle_hash"), ["own", "digest"], "left_anti")
+    again = counted.filter("stands").select("own", "digest")
+    if not again.isEmpty():  # of equal rows that stand for their component, one
+        left = left.unionByName(keyed.join(again, ["own", "digest"], "left_semi").dropDuplicates(["own", "digest"]))
+    return left.select(*C.given_back(docs.columns))

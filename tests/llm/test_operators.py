@@ -206,13 +206,39 @@ def test_short_identifiers_behind_letters_are_candidates(spark):
     assert [r.spans for r in pii.personal_data_report(longest).collect()] == [""] * 3
 
 
-@pytest.mark.parametrize("k,percent,block", [(4, 85, 1024), (5, 80, 1024), (3, 60, 3)])
-def test_ngram_join(docs, rows, k, percent, block, monkeypatch):
+@pytest.mark.parametrize("k,percent,block,leaders", [(4, 85, 256, 8), (5, 80, 256, 8), (3, 60, 3, 2), (3, 60, 2, 1)])
+def test_ngram_join(docs, rows, k, percent, block, leaders, monkeypatch):
     monkeypatch.setattr(common, "GROUP_BYTES", 1 << 14)
-    found = got(ngram_join.similar_documents(docs, k=k, percent=percent, block=block), "n_shingles", "component_id")
+    found = got(ngram_join.similar_documents(docs, k=k, percent=percent, block=block, leaders=leaders), "n_shingles", "component_id")
     assert found == brute.components(rows, k, percent)
 
 
+def test_chains_in_large_clusters(spark):
+    """Near copies of near copies: no leader reaches them all."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(60)] = f"x{i}"
+    rows += [(100 + i, t) for i, t in rows[::7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((1, 85), (2, 80), (2, 92)):
+        assert got(ngram_join.similar_documents(docs, k=k, percent=percent, block=4, leaders=2), "component_id") == {i: (c,) for i, (_, c) in brute.components(rows, k, percent).items()}
+
+
+def test_one_row_of_each_group_stays(spark):
+    t = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    other = " ".join(reversed(t.split()))
+    rows = [(3, t, 1), (5, t, 2), (5, other, 3), (5, "", 4), (None, t, 5), (None, None, 6), (7, other + " end", 7), (3, t, 8), (9, "alone words here in this text now", 9), (None, "lost among null ids but whole", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("a.b", F.lit(1))
+    left = ngram_join.distinct_documents(docs)
+    assert left.columns == docs.columns
+    kept = sorted(r.n for r in left.collect())
+    assert kept in ([1, 3, 4, 6, 9, 10], [3, 4, 6, 8, 9, 10])
+    assert ngram_join.distinct_documents(docs.limit(0)).collect() == []
+
+
 def test_decontamination(spark, docs, rows, monkeypatch):
     rng = random.Random(6)
     texts = [t for _, t in rows if t]
