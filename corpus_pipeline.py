@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, common, decontaminate, ngram_join, pii, quality_rules
 
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of smallest doc_id. Documents without words or id stay."""
-    found = ngram_join.similar_documents(docs, k=5, percent=80)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: a row of smallest doc_id. Documents without words stay."""
+    return ngram_join.distinct_documents(docs, k=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
