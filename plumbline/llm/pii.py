@@ -9,7 +9,8 @@ induce patterns. The graph of patterns and instances is scored in rounds:
 - An instance known so far scores 1 if it is a seed, else what the last round inferred.
 - A pattern that introduces `support` known instances or more has as its confidence the sum of
   its instances' scores, by occurrence, over all its occurrences in the texts, whatever follows
-  there: function words, which mostly introduce words, stay near 0.
+  there, but that a candidate which is not known yet speaks against it with the weight `unknown`
+  only: function words, which mostly introduce words, stay near 0.
 - Confident patterns (`least` or more) infer: an instance scores 1 - product(1 - confidence)
   over its confident patterns, and is known from then on, so that it can carry further patterns.
 
@@ -119,7 +120,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return hashes.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
-def confident_patterns(found: DataFrame, docs: DataFrame, rounds: int = 3, least: float = 0.7, support: int = 3, smooth: float = 1.0) -> DataFrame:
+def confident_patterns(found: DataFrame, docs: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3, smooth: float = 1.0, unknown: float = 0.25) -> DataFrame:
     """(pattern, confidence): patterns that introduce personal data, by `rounds` of scoring the graph of patterns and instances."""
     edges = C.staged(_edges(found), "edges")
     # what never introduces `support` instances can't become confident
@@ -128,8 +129,9 @@ def confident_patterns(found: DataFrame, docs: DataFrame, rounds: int = 3, least
     edges = C.staged(edges.join(totals, "pattern"), "totals")
     scores = C.staged(edges.filter("seed").select("instance").distinct().withColumn("score", F.lit(1.0)), "scores")
     for _ in range(rounds):
-        held = edges.join(scores, "instance")
-        sure = held.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / (F.max("total") + smooth)).alias("confidence"), F.count("*").alias("known"))
+        held = edges.join(scores, "instance", "left")
+        doubt = F.max("total") - (1 - unknown) * F.sum(F.when(F.col("score").isNull(), F.col("n")).otherwise(0)) + smooth
+        sure = held.groupBy("pattern").agg((F.sum(F.coalesce(F.col("score") * F.col("n"), F.lit(0.0))) / doubt).alias("confidence"), F.count("score").alias("known"))
         sure = C.staged(sure.filter((F.col("known") >= support) & (F.col("confidence") >= least)).select("pattern", F.least("confidence", F.lit(0.999999)).alias("confidence")), "sure")
         inferred = edges.join(sure, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("inferred"), F.max(F.col("seed").cast("double")).alias("seed"))
         seeds = edges.filter("seed").select("instance").distinct().withColumn("score", F.lit(1.0))

@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators, for small inputs: rows are (doc_id, text or None)."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -30,6 +31,79 @@ def repeated_strings(rows, width=50):
     return out
 
 
+def chunks(data, gear, shortest=20, bits=4, longest=128, window=24):
+    """Content-defined chunks, byte by byte: gear[b] is the random word of a byte."""
+    mask = (1 << 64) - 1
+
+    def cut_here(end):
+        h = 0
+        for b in data[end - window : end]:
+            h = ((h << 1) + gear[b]) & mask
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return (h ^ (h >> 32)) >> (64 - bits) == 0
+
+    out, last = [], 0
+    for end in range(1, len(data) + 1):
+        size = end - last
+        if len(data) > max(shortest, window) and (size == longest and end < len(data) or size >= shortest and end >= window and cut_here(end)):
+            out.append(data[last:end])
+            last = end
+    rest = data[last:]
+    if rest and out and len(rest) < shortest:
+        out[-1] += rest
+    elif rest:
+        out.append(rest)
+    return out
+
+
+def duplicate_chunks(rows, gear):
+    """doc -> (bytes, removed, spans, digest of the rest): chunks that a document of smaller id has, too, go."""
+    cut = [(d, chunks((t or "").encode(), gear)) for d, t in rows]
+    first = {}
+    for d, cs in cut:
+        for c in cs:
+            first[c] = min(first.get(c, d), d)
+    out = {}
+    for d, cs in cut:
+        gone = [first[c] < d for c in cs]
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[d] = (sum(map(len, cs)), sum(len(c) for c, g in zip(cs, gone) if g), runs, sha(b"".join(c for c, g in zip(cs, gone) if not g)))
+    return out
+
+
+def binomial_cdf(k, n, p):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
+
+
+def cutoffs(held, steps, alpha, delta, strata):
+    """(stratum, rule) -> cutoff. held: rows (stratum, good, holdout, statistics by rule); steps: (rule, level, cutoff), loose ones first in each rule."""
+    out = {}
+    for s in {r[0] for r in held}:
+        own = [r for r in held if r[0] == s]
+        plan = [r for r in own if not r[2]]
+        over = lambda r, step: (r[3][step[0]] or 0) > step[2]
+        good = [r for r in plan if r[1]]
+        order = []
+        for i, step in enumerate(steps):
+            g = sum(over(r, step) for r in good)
+            looser = sum(not r[1] and over(r, steps[i - 1]) for r in plan) if step[1] else 0
+            gain = sum(not r[1] and over(r, step) for r in plan) - looser
+            if gain > 0 and g <= alpha / 5 * len(good):
+                order.append((g, step[1], -gain, i))
+        test = [r for r in own if r[2] and r[1]]
+        taken = []
+        for *_, i in sorted(order):
+            k = sum(any(over(r, steps[j]) for j in [*taken, i]) for r in test)
+            if not (k < alpha * len(test) and binomial_cdf(k, len(test), alpha) <= delta / strata):
+                break
+            taken.append(i)
+        for i in taken:
+            rule, _, c = steps[i]
+            out[s, rule] = min(c, out.get((s, rule), c))
+    return out
+
+
 def rule_statistics(text):
     t = text or ""
     words = re.findall(f"[^{BLANK}]+", t)

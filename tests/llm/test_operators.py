@@ -66,19 +66,14 @@ def test_deep_shallow_sort_orders_suffixes():
 
 def test_substring_dedup(docs, rows, monkeypatch):
     monkeypatch.setattr(common, "GROUP_BYTES", 1 << 14)
-    found = {r.doc_id: r for r in substring_dedup.remove_duplicate_chunks(docs, keep_text=True).collect()}
-    assert len(found) == len(rows)
-    exact = brute.repeated_strings(rows, 20)
+    found = substring_dedup.remove_duplicate_chunks(docs, keep_text=True)
+    want = brute.duplicate_chunks(rows, [int(g) for g in common.GEAR])
+    assert got(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert all(brute.sha(bytes(r.kept_text)) == r.kept_sha256 for r in found.collect())
     first = {}
     for i, t in rows:
-        r, b = found[i], (t or "").encode()
-        assert r.n_bytes == len(b) and r.n_removed == len(b) - len(r.kept_text) and brute.sha(bytes(r.kept_text)) == r.kept_sha256
-        assert r.n_removed <= exact[i][1]  # nothing goes that no earlier document has
-        if len(b) >= 96:
-            assert (r.n_removed == len(b)) == (b in first) or r.n_removed < len(b) or exact[i][1] == len(b)
-        first.setdefault(b, i)
-    twins = [i for i, t in rows if t and len(t.encode()) >= 96 and first[t.encode()] != i]
-    assert twins and all(found[i].n_removed == found[i].n_bytes for i in twins)
+        first.setdefault(t, i)
+    assert all(want[i][1] == want[i][0] for i, t in rows if first[t] != i)
 
 
 def test_short_copies_go_whole(spark):
@@ -138,12 +133,46 @@ def test_binomial_bound(spark):
         assert abs(r.p - want) < 1e-9
 
 
-def test_cutoffs_are_certified(spark):
-    stats = spark.range(4000).selectExpr("id as doc_id", "100L n_words", "400L word_chars", "if(id % 100 = 0, 100L, 0L) n_symbols", "0L n_bangs", "0L n_upper", "1L n_lines", "0L n_dup_lines", "0L n_repeat_words")
-    labels = stats.selectExpr("doc_id", "1 as quality")
-    cuts = quality_rules.certified_cutoffs(stats, labels, alpha=0.06)
-    assert cuts[1, "symbols"] == 0.3  # one in 100 lies beyond every cutoff under it: not certified at 1 %
-    assert quality_rules.certified_cutoffs(stats.limit(0), labels) == {}
+def labelled_stats(spark, n, bad_rule=False):
+    """Statistics of n texts in two strata; good ones symbol-poor, bad ones symbol-rich. bad_rule: bangs mark good texts, too."""
+    rng = random.Random(n)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.8
+        words = rng.choice([100, 500])
+        symbols = int(4 * words * (rng.betavariate(1, 300) if good else rng.uniform(0.03, 0.5)))
+        bangs = int(words * rng.uniform(0, 2)) if bad_rule or not good else 0
+        rows.append((i, words, 4 * words, symbols, bangs, rng.randint(0, 5), rng.randint(1, 9), 0, rng.randint(0, 10)))
+        labels.append((i, int(good)))
+    columns = "doc_id long, n_words long, word_chars long, n_symbols long, n_bangs long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long"
+    return spark.createDataFrame(rows, columns), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+@pytest.mark.parametrize("n,bad_rule", [(3000, False), (3000, True), (300, False), (40, False)])
+def test_cutoffs_are_certified(spark, n, bad_rule):
+    stats, labels = labelled_stats(spark, n, bad_rule)
+    cuts = quality_rules.certified_cutoffs(stats, labels)
+    held = quality_rules.labelled(stats, labels)
+    names = list(quality_rules.RULES)
+    plain = [(r.stratum, r.good, r.holdout, {k: r[k] for k in names}) for r in held.select("stratum", "good", "holdout", *[F.expr(quality_rules.RULES[k][0]).alias(k) for k in names]).collect()]
+    assert cuts == brute.cutoffs(plain, quality_rules.STEPS, 0.05, 0.05, len(quality_rules.BANDS) + 1)
+    assert {(1, "symbols"), (2, "symbols")} <= set(cuts) if n == 3000 else True
+    assert (not any(rule == "bangs" for _, rule in cuts)) if bad_rule else True  # a rule that rejects good texts is refused
+    assert quality_rules.certified_cutoffs(stats.limit(0), labels) == quality_rules.certified_cutoffs(stats, labels.limit(0)) == {}
+    fresh, marks = labelled_stats(spark, n + 1, bad_rule)
+    lost = quality_rules.judged(fresh, cuts).filter("not base_failed").join(marks, "doc_id").filter("quality = 1").groupBy(quality_rules.stratum()).agg(F.avg((~F.col("kept")).cast("int")).alias("lost"))
+    assert n < 3000 or all(r.lost <= 0.05 for r in lost.collect())
+
+
+def test_cutoffs_hold_on_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    stats = common.staged(quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet")), "stats")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    cuts = quality_rules.certified_cutoffs(stats, labels)
+    assert len({s for s, _ in cuts}) >= 2
+    rest = quality_rules.judged(stats, cuts).filter("not base_failed").join(labels, "doc_id").withColumn("s", quality_rules.stratum())
+    for r in rest.groupBy("s").agg(F.avg(F.when(F.col("quality") == 1, (~F.col("kept")).cast("int"))).alias("good"), F.avg(F.when(F.col("quality") == 0, (~F.col("kept")).cast("int"))).alias("bad")).collect():
+        assert r.good <= 0.05 and (r.bad > 0.9 or not any(s == r.s for s, _ in cuts))
 
 
 def test_secrets(docs, rows):
@@ -151,15 +180,47 @@ def test_secrets(docs, rows):
 
 
 def test_markov_models_part_random_from_ordinary(spark):
-    rng = random.Random(4)
-    random_ = ["".join(rng.choices(secrets.ALPHABET[:62], k=30)) for _ in range(300)]
-    words = ["configuration", "container", "transaction", "repository", "environment", "interface"]
-    plain = ["_".join(rng.choices(words, k=2)) + str(rng.randint(1, 9)) for _ in range(300)]
-    frame = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
-    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(random_[200:] + plain[200:])], "doc_id long, text string")
-    found = secrets.find_secrets(docs, frame(random_[:200]), frame(plain[:200])).collect()
-    assert sum(len(r.markov) for r in found if r.doc_id < 100) >= 95
-    assert sum(len(r.markov) for r in found if r.doc_id >= 100) <= 2
+    """Strings and words that are not among the samples: at least nine of ten secrets, at most one of a hundred identifiers."""
+    rng = random.Random(5)
+    secret = ["".join(rng.choices(a, k=rng.randint(16, 44))) for _ in range(60) for a in secrets.ALPHABETS]
+    words = "kubernetes dashboard Verwaltung Einstellung Benutzer Rechnung utilisateur facture deployment microservice Zwischenablage Sicherheit hypervisor zookeeper Wirtschaft Entwicklung jurisprudence xylophone benchmark whitespace".split()
+    plain = [rng.choice(["_", "-", "/", ""]).join(rng.choices(words, k=rng.randint(2, 4))) + str(rng.choice([1, 12, 2024, "2024-01-31"])) for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    told = [[(s.start, s.end) for k in ("hex", "markov") for s in found[i][k]] for i in range(len(found))]
+    mixed = [i for i, t in enumerate(secret) if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    assert sum(bool(told[i]) for i in mixed) >= 0.9 * len(mixed)
+    assert sum(bool(t) for t in told[len(secret) :]) <= 0.01 * len(plain)
+    assert all(t in ([], [(4, 4 + len(secret[i]))]) for i, t in enumerate(told[: len(secret)]) if re.fullmatch(secrets.TOKEN, secret[i]))
+
+
+def test_markov_against_plain(spark):
+    """Ratios as a plain model computes them from the same samples; samples of one kind alone find nothing."""
+    from collections import Counter
+    from math import log
+
+    samples = [("Zk93jfLq02mXp7Qa", True), ("8f3kQ01zPPd9x7aL", True), ("user_name_list12", False), ("page_index_name1", False), (None, True), ("x", None)]
+    frame = spark.createDataFrame(samples, "text string, random boolean")
+    ratios = secrets.trained(frame.filter("random and text is not null"), frame.filter("not random"))
+    code = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+
+    def logs(texts):
+        pairs = Counter((code.get(a, 0), code.get(b, 0)) for t in texts for a, b in zip(t, t[1:]))
+        first, nexts, n = Counter(), Counter(), 0
+        for (a, b), c in pairs.items():
+            first[a] += c
+            nexts[b] += c
+            n += c
+        size = len(code) + 1
+        return lambda a, b: log((pairs[a, b] + 8.0 * (nexts[b] + 0.5) / (n + 0.5 * size)) / (first[a] + 8.0))
+
+    r, o = logs([t for t, k in samples if k and t]), logs([t for t, k in samples if k is False])
+    for t in ("Zk93_user0Q", "name_list99", "é9ab"):
+        got_ = spark.createDataFrame([(t,)], "t string").select(secrets.mean_ratio(F.col("t"), ratios)).first()[0]
+        pairs = [(code.get(a, 0), code.get(b, 0)) for a, b in zip(t, t[1:])]
+        assert abs(got_ - sum(r(a, b) - o(a, b) for a, b in pairs) / len(pairs)) < 1e-4
+    docs = spark.createDataFrame([(1, "see Zk93jfLq02mXp7Qa9")], "doc_id long, text string")
+    assert secrets.find_secrets(docs, frame.filter("random")).first().markov == []
 
 
 def test_many_matches_in_one_text(spark, monkeypatch):
@@ -186,10 +247,96 @@ def test_pii(docs, rows):
     assert masked[some].text.startswith("mail [EMAIL], ") and "[CARD]" in masked[some].text and masked[some].n_chars == len(masked[some].text)
 
 
+def planted_identifiers(n=300, seed=31):
+    """Texts with identifiers behind `acct:`, `badge holder` and `file no`; only the first also introduces seeds. -> rows, planted {doc: token}, decoys"""
+    rng = random.Random(seed)
+    prose = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    ids = [f"{rng.choice('ABCDXYZ')}{rng.choice('KLMN')}-{rng.randint(10000, 99999)}" for _ in range(n)]
+    rows, planted, decoys = [], {}, set()
+    for i in range(n):
+        kind = i % 6
+        if kind == 0:
+            rows.append((i, f"{prose(20)} acct: {rng.randint(1, 200)}.{rng.randint(1, 200)}.1.7 {prose(5)}"))
+        elif kind == 1:
+            planted[i] = ids[i]
+            rows.append((i, f"{prose(10)} acct: {ids[i]} {prose(9)}"))
+        elif kind == 2:  # introduced by another phrase, too: instances of the first round carry it
+            planted[i] = ids[i - 1]
+            rows.append((i, f"{prose(10)} badge holder {ids[i - 1]} {prose(9)}"))
+        elif kind == 3:
+            planted[i] = ids[i]
+            rows.append((i, f"{prose(10)} badge holder {ids[i]} {prose(9)}"))
+        elif kind == 4:  # function words introduce seeds as well, and order numbers
+            rows.append((i, f"{prose(10)} the mail{i}@example.org and the {ids[i]} {prose(9)}"))
+            decoys.add(i)
+        else:
+            rows.append((i, f"{'acct: ' if i % 30 == 5 else ''}411111111111{1000 + i} {prose(6)} version 2024-01-{10 + i % 20} {prose(9)}"))
+            decoys.add(i)
+    return rows, planted, decoys
+
+
 def test_context_finds_unseen_identifiers(spark):
-    rows = [(i, f"account acct: 4111111111111111 noted {i}") for i in range(3)] + [(10 + i, f"please use acct: 10.0.{i}.7 today") for i in range(20)] + [(40, "please use acct: ZX-99812-77 today"), (41, "the order no. ZX-12345-66 came")]
-    found = {r.doc_id: r.spans for r in pii.personal_data_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[40] == "context:17:28" and found[41] == ""
+    rows, planted, decoys = planted_identifiers()
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    hit = {i: {texts[i][s.start : s.end] for s in r.context} for i, r in found.items()}
+    assert sum(planted[i] in hit[i] for i in planted) >= 0.9 * len(planted)
+    assert sum(len(h - {planted.get(i)}) for i, h in hit.items()) <= 0.02 * len(planted)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_patterns_against_plain(spark, rounds):
+    """Confident patterns as a plain version of the rounds finds them."""
+    rows, _, _ = planted_identifiers(120, 32)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = common.staged(pii.scanned(docs), "found")
+    sure = {r.pattern: r.confidence for r in pii.confident_patterns(found, docs, rounds=rounds).collect()}
+    keyed = {}  # (kind, words) -> hash, for all that occur
+    total, edges, seeds = {}, {}, set()
+    for i, t in rows:
+        w = re.sub("[0-9]+", "0", t.lower()).split()
+        for p in range(1, len(w)):
+            for key in ((1, w[p - 1]), (2, w[p - 2], w[p - 1]) if p > 1 else None, (3, w[p - 1], w[p + 1]) if p + 1 < len(w) else None):
+                if key:
+                    total[key] = total.get(key, 0) + 1
+    keys = sorted(total)
+    frame = spark.createDataFrame([(n, k[0], list(k[1:])) for n, k in enumerate(keys)], "n int, kind int, w array<string>")
+    first = F.when(F.size("w") == 2, F.xxhash64("kind", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.xxhash64("kind", F.get("w", F.lit(0))))
+    for r in frame.select("n", first.alias("h")).collect():
+        keyed[r.h] = keys[r.n]
+    for r in found.collect():
+        for k in (*pii.KINDS[:4], "free"):
+            for s in r[k]:
+                if k != "free":
+                    seeds.add(s.value)
+                for h in s.patterns:
+                    e = edges.setdefault(keyed[h], {})
+                    e[s.value] = e.get(s.value, 0) + 1
+    score = {s: 1.0 for s in seeds}
+    for _ in range(rounds):
+        best = {}
+        for key, e in edges.items():
+            if sum(v in score for v in e) >= 3:
+                c = sum(score.get(v, 0) * n for v, n in e.items()) / (total[key] - 0.75 * sum(n for v, n in e.items() if v not in score) + 1.0)
+                if c >= 0.5:
+                    best[key] = min(c, 0.999999)
+        miss = {}
+        for key, c in best.items():
+            for v in edges[key]:
+                miss[v] = miss.get(v, 1.0) * (1 - c)
+        score = {v: 1 - m for v, m in miss.items()} | {s: 1.0 for s in seeds}
+    assert {keyed[h] for h in sure} == set(best) and all(abs(c - best[keyed[h]]) < 1e-9 for h, c in sure.items())
+    assert not any(k[-1] in ("the", "and") and k[0] == 1 for k in best)
+
+
+def test_masking_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 4)
+    rng = random.Random(14)
+    parts = [rng.choice(["a.b@c.de", "10.0.0.1", "wörd", "+1 (555) 010-9999", "x"]) for _ in range(200)]
+    rows = [(1, " x ".join(parts)), (2, "no data"), (3, None), (4, ""), (5, "a.b@c.de"), (6, "é a.b@10.0.0.1 é")]
+    masked = {r.doc_id: r.text for r in pii.mask_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = {"a.b@c.de": "[EMAIL]", "10.0.0.1": "[IP]", "+1 (555) 010-9999": "[PHONE]"}
+    assert masked == {1: " x ".join(names.get(p, p) for p in parts), 2: "no data", 3: None, 4: "", 5: "[EMAIL]", 6: "é [EMAIL] é"}
 
 
 def test_short_identifiers_behind_letters_are_candidates(spark):
@@ -299,13 +446,66 @@ def test_null_and_repeated_ids(spark):
     assert secrets.secret_report(docs).count() == pii.personal_data_report(docs).count() == 5
 
 
-def test_pipeline(spark, docs, rows, tmp_path):
+def test_classifiers_on_odd_rows(spark):
+    """Long texts, ties, repeated rows and ids, null ids and labels, clashing columns."""
+    rng = random.Random(15)
+    rows = [(i, text(rng, 30) + (" vile scum" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(4, "vile scum"), (4, "vile scum"), (None, "vile scum again"), (300, None), (301, ""), (302, "scum " * 50_000), (303, "w" * 300_000)]
+    docs = spark.createDataFrame([(i, t, 0.5, "x", True) for i, t in rows], "doc_id long, text string, score double, slots string, held_out boolean").withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(200)] + [(4, 1, 0), (None, 0, 1), (999, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    for scores in (toxicity.toxicity(docs, labels, toxicity.fold(4) != 2, positives=20, first=50), quality_classifier.quality(docs, labels, toxicity.fold(5) != 0, rows=30)):
+        out = scores.collect()
+        assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+        assert len({r.score for r in out if r.doc_id in (300, 301)}) == 1 and len([r for r in out if r.doc_id == 4]) == 3
+        assert scores.columns == ["doc_id", "score"]
+    none = docs.limit(0)
+    assert toxicity.toxicity(none, labels, F.lit(True)).collect() == quality_classifier.quality(none, labels, F.lit(True)).collect() == []
+
+
+def test_risk_over_partitions_equals_one_sum(spark):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(500)]
+    frame = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(rows)], "doc_id long, slots binary").repartition(7)
+    risk = toxicity.Risk(toxicity.Sparse(rows[:50], 40), 0.1)
+    w = rng.normal(size=41)
+    whole = risk.unlabelled(rows, w)
+    assert np.allclose(toxicity.added_up(frame, 43, lambda r: risk.unlabelled(r, w)), whole) and whole[-1] == 500
+    loss, gradient = risk.of(w, whole)
+    for j in (0, 17, 40):
+        step = np.zeros(41)
+        step[j] = 1e-6
+        ahead = risk.of(w + step, risk.unlabelled(rows, w + step))[0]
+        bracket = whole[-2] / 500 + 0.1 * np.mean(np.log(1 - toxicity.sigmoid(risk.positive.times(w[:-1]) + w[-1])))
+        assert bracket < 0 or abs((ahead - loss) / 1e-6 - gradient[j]) < 1e-3
+
+
+@pytest.mark.parametrize("table", ["usual", "odd", "empty"])
+def test_pipeline(spark, docs, rows, tmp_path, table):
     import corpus_pipeline
 
-    docs.drop("a.b").write.parquet(f"{tmp_path}/documents.parquet")
+    passage = text(random.Random(77), 40)
+    used = [(i, t) for i, t in rows] + [(5000, passage + " " + text(random.Random(78), 60))]
+    if table == "odd":  # rows without an id and rows of one id, told apart by what they hold
+        used = [(None if i % 7 == 0 else 8 if i % 7 == 1 else i, t) for i, t in used]
+    names = docs.columns
+    frame = spark.createDataFrame([(i, t, "en", "s", None, 1, "x", 2, None) for i, t in used], "doc_id long, text string, lang string, source string, n_chars long, g int, kept string, n_words int, `a.b` string").select(*[f"`{c}`" for c in names])
+    (frame.limit(0) if table == "empty" else frame).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "not in any text of this corpus at all , really not")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = got(corpus_pipeline.run(spark, str(tmp_path)), "n_tokens")
-    kept = [(i, t) for i, t in rows if not brute.rule_statistics(t)[5]]
-    want = {i for i, (_, c) in brute.components(kept, 5, 80).items() if c == i}
-    assert set(out) == want
+    spark.createDataFrame([(1, passage), (2, "not in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if table == "empty":
+        assert out == []
+        return
+    kept = [(n, t) for n, (_, t) in enumerate(used) if not brute.rule_statistics(t)[5]]  # by row
+    groups = {}
+    for n, (_, c) in brute.components(kept, 5, 80).items():
+        groups.setdefault(c, []).append(n)
+    assert len(out) == len(groups)  # one row of each group
+    if table == "usual":
+        assert {r.doc_id for r in out} == {used[c][0] for c in groups}
+        cut = next(r for r in out if r.doc_id == 5000)
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        ids = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode(decontaminate.cut_words(used[-1][1], [(0, 40)]), add_special_tokens=False).ids
+        assert cut.n_tokens == len(ids)
