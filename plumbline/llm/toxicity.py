@@ -12,11 +12,11 @@ differs from that of all unlabelled texts by `least_z` standard errors; the most
 `columns` of them, and those of lengths.
 
 Positives are at most `positives` labelled texts (the documented bound), of smallest hash.
-Nothing else is sampled: one scan writes the columns of every text, whose counts and, in each
-of `passes` steps, whose risk and gradient are added up over partitions by column. The steps
+Nothing else is sampled: one scan counts what positives have in all texts, another writes the
+columns of every text, whose risk and gradient are added up over partitions, by column, in each of
+`passes` steps. The steps
 start from a fit to `first` unlabelled rows. At last the bias is set so that the mean score of
-the unlabelled rows is the prior. Scores come from the written columns, so that
-texts are read once, and the positives' once more.
+the unlabelled rows is the prior. Scores come from the written columns.
 
 Defined cases: null, empty and wordless texts score by the bias alone; without positives all score
 the class prior, 0; labels of null or unknown ids play no part; several labels of one id count
@@ -173,20 +173,18 @@ def learned(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int
     able = np.flatnonzero(count >= max(seen, len(confirmed) // 500))
     place = np.full(SLOTS + 32, -1, np.int32)
     place[able] = np.arange(len(able))
-    every = C.staged(presence(docs, place), "presence")
-    free = every.filter("doc_id is not null").filter(allowed)
     size = len(able)
-    counts = added_up(free, size + 1, lambda rows: np.append(np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size), len(rows)))
+    may = docs.filter("doc_id is not null").filter(allowed)
+    counts = added_up(presence(may, place), size + 1, lambda rows: np.append(np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size), len(rows)))
     base = (counts[:-1] + 1) / (counts[-1] + 2)
     z = (count[able] / len(confirmed) - base) / np.sqrt(base * (1 - base) / len(confirmed))
     order = np.argsort(-np.abs(z), kind="stable")[:columns]
     order = np.union1d(order[np.abs(z[order]) >= least_z], np.flatnonzero(able >= LENGTHS))
-    column = np.full(size, -1, np.int32)
-    column[order] = np.arange(len(order))
-    every = C.staged(renumbered(every, column), "columns")
+    place = np.full(SLOTS + 32, -1, np.int32)
+    place[able[order]] = np.arange(len(order))
+    every = C.staged(presence(docs, place), "columns")
     free = every.filter("doc_id is not null").filter(allowed)
-    pick = lambda rows, at: [p[p >= 0] for p in (at[r] for r in rows)]
-    risk = Risk(Sparse(pick(pick(confirmed, place), column), len(order)), prior)
+    risk = Risk(Sparse([p[p >= 0] for p in (place[r] for r in confirmed)], len(order)), prior)
     some = packed_rows_of(free.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(first))
     start = np.append(np.zeros(len(order)), np.log(prior / (1 - prior)))
     w = descended(risk, start, lambda w: risk.unlabelled(some, w), 300, 0.05)
@@ -210,17 +208,6 @@ def prior_shift(histogram: np.ndarray, prior: float) -> float:
     return low
 
 
-def renumbered(rows: DataFrame, column: np.ndarray) -> DataFrame:
-    """Packed rows with column[number] for each number, without those that have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = (p[p >= 0] for p in (column[r] for r in packed_rows(batch)))
-            yield pa.record_batch({"doc_id": batch.column(0), "slots": pa.array([p.tobytes() for p in left], pa.binary())})
-
-    return rows.mapInArrow(run, "doc_id long, slots binary")
-
-
 def packed_rows_of(rows: DataFrame) -> list[np.ndarray]:
     """The packed rows of a bounded table, on the driver."""
     return [np.frombuffer(b, np.int32) for b in rows.select("slots").toArrow().column("slots").to_pylist()]
