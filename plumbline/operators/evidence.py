@@ -40,7 +40,7 @@ def markers_of(files: DataFrame, sigil: str = SIGIL) -> DataFrame:
     form = "\\A\\s*([a-z0-9]+(?:-[a-z0-9]+)*)(?![a-z0-9-])(?:\\s*\\z|(!?)\\s*::\\s*(\\S.*?)\\s*\\z)"
     rows = lines.filter(F.col("text").rlike(pattern)).withColumn("tail", tail).filter(F.col("tail").rlike(form))
     command = F.regexp_extract("tail", form, 3)
-    return rows.select(F.regexp_extract("tail", form, 1).alias("id"), F.when(command != "", command).alias("command"), "file", (F.col("at") + 1).cast("int").alias("line"), (F.regexp_extract("tail", form, 2) == "!").alias("exempt")).orderBy("file", "line")
+    return rows.select(F.regexp_extract("tail", form, 1).alias("id"), F.when(command != "", command).alias("command"), "file", (F.col("at") + 1).cast("int").alias("line"), (F.regexp_extract("tail", form, 2) == "!").alias("exempt"))
 
 
 def _blank(text: str) -> str:
@@ -124,6 +124,20 @@ def fold(outcomes: DataFrame) -> DataFrame:
     return rows.select("claim_id", F.when(~F.col("s"), "fail").when(F.col("v"), "vacuous").otherwise("pass").alias("outcome"))
 
 
+def outcomes(claims: DataFrame, markers: DataFrame, results: DataFrame) -> DataFrame:
+    """claim_id, outcome of every claim; results (file, line, success, stdout) are what markers with a command came to.
+
+    Claims graded none or review need no marker; bare markers count for types alone; a claim without a
+    usable marker is absent. Absence markers are taken at their word, like exempt ones.
+    """
+    first = claims.groupBy("id").agg(F.min_by(F.coalesce("evaluator", F.lit("")), F.struct(F.split("file", "/").alias("parts"), "ordinal")).alias("evaluator"))
+    own = markers.join(first.filter(~F.col("evaluator").isin("none", "review")), "id").filter(F.col("command").isNotNull() | (F.col("evaluator") == "type"))
+    bare = F.col("command").isNull()
+    told = own.join(results, ["file", "line"], "left").select(F.col("id").alias("claim_id"), F.coalesce(bare | F.col("success"), F.lit(False)).alias("success"), F.coalesce("stdout", F.lit("")).alias("stdout"), (F.col("exempt") | bare | (F.col("evaluator") == "absent")).alias("exempt"))
+    rows = first.join(fold(told), F.col("id") == F.col("claim_id"), "left")
+    return rows.select(F.col("id").alias("claim_id"), F.when(F.col("evaluator").isin("none", "review"), F.col("evaluator")).otherwise(F.coalesce("outcome", F.lit("absent"))).alias("outcome"))
+
+
 def conformance(claims: DataFrame, outcomes: DataFrame) -> DataFrame:
     """kind, discharged, total (an extension): how many claims of a kind pass."""
     rows = claims.join(outcomes, F.col("id") == F.col("claim_id"), "left")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,22 @@ def sites(source: str, old: str) -> list[tuple[int, int, str]]:
     return sorted(set(out))
 
 
+def sites_of(files: DataFrame) -> DataFrame:
+    """file, start, end, kind of every site of `old` in files (path, content, old)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *site) for path, content, old in zip(batch["path"], batch["content"], batch["old"]) for site in sites(bytes(content).decode(), old)]
+            yield pd.DataFrame(rows, columns=["file", "start", "end", "kind"])
+
+    return files.select("path", "content", "old").mapInPandas(run, "file string, start int, end int, kind string")
+
+
+def totals(changes: list[Change]) -> tuple[int, int]:
+    """Files and edits of a rename."""
+    return len(changes), sum(c.edits for c in changes)
+
+
 def edited(source: str, edits: list[tuple[int, int, str]], old: str, new: str) -> str:
     """source with each span, which must hold old and overlap no other, replaced."""
     out, at = [], 0

@@ -9,8 +9,11 @@ No extension of CommonMark is read. This module does not know Spark.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from html import unescape
+from html.entities import html5
 
 ID = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
 #: The keywords of normative prose; a modal may be followed by NOT.
@@ -20,16 +23,33 @@ KEYWORDS = ("REQUIRED", "RECOMMENDED", "MAY", "OPTIONAL")
 ASIDE_BYTES = 128
 
 QUOTE = re.compile(r" {0,3}> ?")
-ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])( +(?=\S)|(?= *\Z))")
+ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+(?=\S)|(?=[ \t]*\Z))")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
 FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})(.*)\Z", re.DOTALL)
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\Z")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*\Z")
-HTML_BLOCK = re.compile(r" {0,3}<(?:!--|\?|![A-Z]|/?(?:address|article|aside|blockquote|body|center|details|dialog|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|p|param|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?=[ \t>/]|\Z)|(?:script|pre|style|textarea)(?=[ \t>]|\Z))", re.I)
-DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<([^<>\n]*)>|(\S+))(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\Z")
+#: Names of tags that begin an HTML block; those of VERBATIM end with a closing tag, not at a blank line.
+VERBATIM = "script|pre|style|textarea"
+BLOCK_TAGS = """address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|
+h1|h2|h3|h4|h5|h6|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul""".replace("\n", "")
+DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)*[^\s\[\]\\](?:[^\[\]\\]|\\.)*)\]:[ \t]*(?:\n[ \t]*)?(?:<([^<>\n]*)>|([^\s<]\S*))(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|\Z)", re.DOTALL)
+ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>|<!--.*?-->", re.DOTALL)
 AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+)>")
 DESTINATION = re.compile(r"\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
+#: (begin, end) of HTML blocks; end None: a blank line. The last kind does not interrupt a paragraph.
+HTML_BLOCKS = tuple(
+    (re.compile(" {0,3}" + begin, re.I), end and re.compile(end, re.I))
+    for begin, end in (
+        (rf"<(?:{VERBATIM})(?=[ \t>]|\Z)", rf"</(?:{VERBATIM})>"),
+        ("<!--", "-->"),
+        (r"<\?", r"\?>"),
+        (r"<!\[CDATA\[", r"\]\]>"),
+        ("<![A-Z]", ">"),
+        (rf"</?(?:{BLOCK_TAGS})(?=[ \t>]|/>|\Z)", None),
+        (rf"(?!<!--)(?:{TAG.pattern})[ \t]*\Z", None),
+    )
+)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -43,6 +63,7 @@ class Leaf:
     at: list[int] = field(default_factory=list)  # source offset of each character of text
     level: int = 0
     info: str = ""
+    until: re.Pattern | None = None  # what ends an HTML block that blank lines do not end
 
 
 @dataclass
@@ -61,8 +82,6 @@ class Facts:
 
 
 def slug_of(text: str) -> str:
-    import unicodedata
-
     return "".join("-" if c == " " else c for c in text.lower() if c in " -_" or c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
@@ -79,6 +98,27 @@ def slugs(texts: list[str]) -> list[str]:
     return out
 
 
+def columns(text: str, at: int = 0) -> int:
+    """The columns of the blanks that text starts with, from column `at`; tab stops are four apart."""
+    column = at
+    for c in text:
+        if c == " ":
+            column += 1
+        elif c == "\t":
+            column += 4 - column % 4
+        else:
+            break
+    return column - at
+
+
+def blanks(text: str, width: int, at: int = 0) -> int:
+    """How many of text's leading characters make `width` columns; a tab that reaches beyond counts as one."""
+    n = 0
+    while n < len(text) and text[n] in " \t" and columns(text[:n], at) < width:
+        n += 1
+    return n
+
+
 def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
     """The leaf blocks of a text in order, and its link definitions."""
     leaves: list[Leaf] = []
@@ -105,8 +145,8 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
                 if not m:
                     break
                 at += m.end()
-            elif rest.strip() == "" or len(rest) - len(rest.lstrip(" ")) >= c:
-                at += min(c, len(rest) - len(rest.lstrip(" ")))
+            elif rest.strip() == "" or columns(rest) >= c:
+                at += blanks(rest, c)
             else:
                 break
             kept += 1
@@ -125,6 +165,14 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
                 offset += len(raw)
                 continue
             close()
+        if open_ is not None and open_.until is not None:
+            if whole:
+                open_.end = offset + len(raw)
+                if open_.until.search(line[at:]):
+                    close()
+                offset += len(raw)
+                continue
+            close()
         lazy = not whole and open_ is not None and open_.kind == "paragraph"
         containers_before = list(containers)
         opened = False
@@ -143,10 +191,11 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
             if m and not RULE.match(rest) and (open_ is None or open_.kind != "paragraph" or lazy or rest[m.end() :].strip() and (not m[2][0].isdigit() or m[2][:-1] == "1")):
                 if open_ is not None:
                     close()
-                space = len(m[3])
-                width = m.end() - (space - 1 if space > 4 else 0) if space else m.end() + 1
+                mark = m.end(2)
+                space = columns(m[3], mark)
+                width = mark + (space if 0 < space <= 4 else 1)
                 containers.append(width)
-                at += min(width, len(rest))
+                at += min(mark + blanks(rest[mark:], width - mark, mark), len(rest))
                 opened = True
                 continue
             break
@@ -154,9 +203,8 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
         here = offset + at
         quoted = -1 in containers
         if not body.strip():
-            if open_ is not None and (open_.kind != "html" or True):
-                close()
-        elif lazy and not opened and not ATX.match(body) and not FENCE.match(body) and not RULE.match(body):
+            close()
+        elif lazy and not opened and not ATX.match(body) and not FENCE.match(body) and not RULE.match(body) and html_begun(body, True) is None:
             containers[:] = containers_before  # a paragraph goes on without its marks
             add_line(open_, body, here, offset + len(raw))
         elif open_ is not None and open_.kind == "html" and whole:
@@ -183,10 +231,12 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
                 open_ = Leaf("fence", here, offset + len(raw), quoted, info=m[3])
                 leaves.append(open_)
                 fence = m[2], len(m[1]), len(containers)
-            elif HTML_BLOCK.match(body) and (open_ is None or open_.kind != "paragraph" or True):
+            elif (found := html_begun(body, open_ is not None and open_.kind == "paragraph")) is not None:
                 close()
-                open_ = Leaf("html", here, offset + len(raw), quoted)
+                open_ = Leaf("html", here, offset + len(raw), quoted, until=found[1])
                 leaves.append(open_)
+                if open_.until is not None and open_.until.search(body, found[0]):
+                    close()
             elif open_ is not None and open_.kind == "paragraph":
                 add_line(open_, body, here, offset + len(raw))
             elif body.startswith("    ") or body.startswith("\t"):
@@ -200,6 +250,14 @@ def blocks(source: str) -> tuple[list[Leaf], dict[str, str]]:
     return leaves, definitions
 
 
+def html_begun(body: str, in_paragraph: bool) -> tuple[int, re.Pattern | None] | None:
+    """(where its mark ends, what ends it) of the HTML block that a line begins, or None."""
+    for begin, end in HTML_BLOCKS[:-1] if in_paragraph else HTML_BLOCKS:
+        if m := begin.match(body):
+            return m.end(), end
+    return None
+
+
 def add_line(leaf: Leaf, body: str, here: int, end: int) -> None:
     if leaf.text:
         leaf.text += "\n"
@@ -211,28 +269,90 @@ def add_line(leaf: Leaf, body: str, here: int, end: int) -> None:
 
 
 def take_definitions(leaf: Leaf, definitions: dict[str, str]) -> None:
-    while leaf.text:
-        first = leaf.text.split("\n", 1)[0]
-        m = DEFINITION.match(first)
-        if not m:
-            return
+    while m := DEFINITION.match(leaf.text):
         definitions.setdefault(label(m[1]), unescaped(m[2] if m[2] is not None else m[3]))
-        n = min(len(first) + 1, len(leaf.text))
-        leaf.text, leaf.at = leaf.text[n:], leaf.at[n:]
+        leaf.text, leaf.at = leaf.text[m.end() :], leaf.at[m.end() :]
 
 
 def label(text: str) -> str:
     return " ".join(text.split()).casefold()
 
 
+def entity(text: str) -> str:
+    """What a character reference stands for; itself if it is none."""
+    return html5.get(text[1:], text) if text[1] != "#" else unescape(text) if text not in ("&#0;", "&#x0;") else "\ufffd"
+
+
 def unescaped(text: str) -> str:
-    return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text)
+    return re.sub(r"\\([!-/:-@\[-`{-~])|" + ENTITY.pattern, lambda m: m[1] or entity(m[0]), text)
+
+
+@dataclass
+class Run:
+    """A run of * or _ that may open or close emphasis; pieces are what it gave, innermost first."""
+
+    event: int
+    mark: str
+    left: int
+    opens: bool
+    closes: bool
+    size: int
+    opened: list[int] = field(default_factory=list)
+    closed: list[int] = field(default_factory=list)
+
+
+def flanking(text: str, start: int, end: int) -> tuple[bool, bool]:
+    """Whether the run of text[start] may open, and close, emphasis."""
+    kind = lambda c: 0 if not c or c.isspace() else 1 if c in PUNCTUATION or unicodedata.category(c)[0] in "PS" else 2
+    before, after = kind(text[start - 1 : start]), kind(text[end : end + 1])
+    left = after == 2 or after == 1 and before != 2
+    right = before == 2 or before == 1 and after != 2
+    if text[start] == "*":
+        return left, right
+    return left and (not right or before == 1), right and (not left or after == 1)
+
+
+def paired(runs: list[Run]) -> None:
+    """Each closing run takes marks from the nearest run before it that opens; runs between the two stay text."""
+    done: list[Run] = []
+    for run in runs:
+        while run.closes and run.left:
+            both = lambda o, run=run: (o.closes or run.opens) and (o.size + run.size) % 3 == 0 and (o.size % 3 or run.size % 3)
+            k = next((k for k in range(len(done) - 1, -1, -1) if done[k].mark == run.mark and not both(done[k])), None)
+            if k is None:
+                break
+            opener = done[k]
+            n = 2 if min(opener.left, run.left) >= 2 else 1
+            opener.opened.append(n)
+            run.closed.append(n)
+            opener.left -= n
+            run.left -= n
+            del done[k + (opener.left > 0) :]
+        if run.opens and run.left:
+            done.append(run)
+
+
+def settled(events: list[list], runs: list[Run]) -> list[list]:
+    """events with each run as its marks, and what is left of it as text."""
+    of, out = {r.event: r for r in runs}, []
+    for k, e in enumerate(events):
+        if k not in of:
+            out.append(e)
+            continue
+        r, at = of[k], e[1]
+        for kind, n in [*[("mark", n) for n in r.closed], ("text", r.left), *[("mark", n) for n in reversed(r.opened)]]:
+            if n:
+                out.append([kind, at, at + n, r.mark * n])
+                at += n
+    return out
 
 
 def inlines(text: str, definitions: dict[str, str]):
     """Events (kind, start, end, value) of inline text: text, code, link, end, html, strong, break."""
     events: list[list] = []
-    brackets: list[tuple[int, int, bool]] = []  # (event index, position, image)
+    brackets: list[tuple[int, int, bool, int]] = []  # (event index, position, image, runs before it)
+    runs: list[Run] = []  # those that may still be paired
+    every: list[Run] = []
     i, n, plain = 0, len(text), 0
 
     def flush(to: int) -> None:
@@ -275,19 +395,25 @@ def inlines(text: str, definitions: dict[str, str]):
         elif c in "*_":
             flush(i)
             m = re.compile(re.escape(c) + "+").match(text, i)
+            runs.append(Run(len(events), c, m.end() - i, *flanking(text, i, m.end()), m.end() - i))
+            every.append(runs[-1])
             events.append(["mark", i, m.end(), m[0]])
             i = plain = m.end()
+        elif c == "&" and (m := ENTITY.match(text, i)) and entity(m[0]) != m[0]:
+            flush(i)
+            events.append(["text", i, m.end(), entity(m[0])])
+            i = plain = m.end()
         elif c == "[" or c == "!" and text.startswith("![", i):
             flush(i)
             width = 1 if c == "[" else 2
             events.append(["text", i, i + width, text[i : i + width]])
-            brackets.append((len(events) - 1, i, width == 2))
+            brackets.append((len(events) - 1, i, width == 2, len(runs)))
             i = plain = i + width
         elif c == "]":
             flush(i)
             plain = i
             if brackets:
-                k, start, image = brackets.pop()
+                k, start, image, below = brackets.pop()
                 m, dest, stop = DESTINATION.match(text, i + 1), None, i + 1
                 if m:
                     dest, stop = unescaped(m[1] if m[1] is not None else m[2]), m.end()
@@ -299,6 +425,8 @@ def inlines(text: str, definitions: dict[str, str]):
                 if dest is not None:
                     events[k] = ["image" if image else "link", start, stop, dest]
                     events.append(["end", i, stop, ""])
+                    paired(runs[below:])
+                    del runs[below:]
                     if not image:
                         brackets.clear()  # no link inside a link
                     i = plain = stop
@@ -307,7 +435,8 @@ def inlines(text: str, definitions: dict[str, str]):
         else:
             i += 1
     flush(n)
-    return events
+    paired(runs)
+    return settled(events, every)
 
 
 def keywords_in(text: str):
@@ -387,7 +516,7 @@ def facts(source: str) -> Facts:
         for e in [*events, ["stop", 0, 0, ""]]:
             if e[0] == "text":
                 stretch += e[3]
-                where += [e[1] + j for j in range(len(e[3]))]
+                where += [min(e[1] + j, e[2] - 1) for j in range(len(e[3]))]
             else:
                 if not leaf.quoted:
                     out.words += [(place(where[p]), w) for p, w in keywords_in(stretch)]
