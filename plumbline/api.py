@@ -35,18 +35,20 @@ class Engine:
         """Findings in order; register replaces the checks."""
         return checks.told(checks.diagnostics(self.corpus, self.markers(), register or self.register))
 
-    def report(self, with_findings: bool = False) -> str:
-        """The index (and findings) as JSON with sorted keys; nulls stay."""
+    def report(self, with_findings: bool = False, found: list | None = None) -> str:
+        """The index (and findings; found: rows of check, if there are some) as JSON with sorted keys; nulls stay."""
         claims = {r.id: r.asDict(recursive=True) for r in checks.index_claims(self.corpus).collect()}
         documents = {r.doc_path: r.asDict() for r in checks.index_documents(self.corpus).collect()}
         index = {"claims": {k: {x: y for x, y in v.items() if x != "id"} for k, v in claims.items()}, "documents": {k: {x: y for x, y in v.items() if x != "doc_path"} for k, v in documents.items()}}
-        out = {"index": index, "findings": [r.asDict() for r in self.check().collect()]} if with_findings else index
+        if with_findings and found is None:
+            found = self.check().collect()
+        out = {"index": index, "findings": [r.asDict() for r in found]} if with_findings else index
         return json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False)
 
-    def lines(self) -> list[str]:
-        """Findings for people."""
-        text = F.format_string("%s: %s: %s:%d: %s", F.when(F.col("severity") == "fail", "error").otherwise("warning"), "check", "file", "line", "message")
-        return [r[0] for r in self.check().select(text).collect()]
+    def lines(self, found: list | None = None) -> list[str]:
+        """Findings (rows of check) for people."""
+        found = self.check().collect() if found is None else found
+        return [f"{'error' if r.severity == 'fail' else 'warning'}: {r.check}: {r.file}:{r.line}: {r.message}" for r in found]
 
     def _known(self, ref: str) -> bool:
         if "#" not in ref:

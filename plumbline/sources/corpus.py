@@ -51,7 +51,11 @@ def genre_rows(config: dict | None) -> list[tuple[str, list[str], str, str]]:
     if config is None:
         raise ConfigError("no configuration")
     rows = []
+    if not isinstance(config, dict) or not isinstance(config.get("genres", []), list):
+        raise ConfigError("the configuration is no mapping with a list of genres")
     for g in config.get("genres", []):
+        if not isinstance(g, dict) or not isinstance(g.get("path"), str):
+            raise ConfigError("a genre has no path")
         kinds, quadrant = list(g.get("kinds", [])), g.get("quadrant")
         if bad := [k for k in kinds if k not in KINDS]:
             raise ConfigError(f"unknown kind {bad[0]!r}")

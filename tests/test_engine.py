@@ -210,3 +210,56 @@ def test_register_can_be_replaced(spark):
     assert e.check({"C1": checks.c1}).collect() == []
     only = Engine.of_texts(spark, {"docs/specs/a.md": claim("a", kind="requirement")}, CONFIG, register={"C2": checks.c2})
     assert json.loads(only.report(with_findings=True))["findings"] == []
+
+
+def headings(text):
+    return [md.slug_of(h[3]) for h in md.facts(text).headings]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("## use my_func_name\n", ["use-my_func_name"]),
+        ("## a *b* c_d_ ***e*** 2 * 3 __f__g\n", ["a-b-c_d_-e-2--3-__f__g"]),
+        ("## salt &amp; pepper &nosuch; &#35;\n", ["salt--pepper-nosuch-"]),
+        ("<!-- owner -->\n### [a-claim] x\n", ["a-claim-x"]),
+        ("<!--\n\n### gone\n-->\n### kept\n", ["kept"]),
+        ("<pre>\n\n# gone\n</pre>\n# kept\n", ["kept"]),
+        ("<div>\n# gone\n\n# kept\n", ["kept"]),
+        ("text\n<b>\n# kept\n", ["kept"]),
+        ("<b>\n# gone\n\n# kept\n", ["kept"]),
+        ("-\t# x\n\n\t## y\n", ["x", "y"]),
+        ("* * *\n# r\n", ["r"]),
+    ],
+)
+def test_headings_of_markdown(text, want):
+    assert headings(text) == want
+
+
+def test_definitions_over_lines():
+    links = [d for _, d in md.facts("[a]:\n  /url\n  'title'\n[b]: <x y>\n[c]: /c?a=1&amp;b=2\nrest [a] [b] [C][] [d](e\\_f)\n").links]
+    assert links == ["/url", "x y", "/c?a=1&b=2", "e_f"]
+
+
+def test_exit_codes(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    def run(*words):
+        return main([words[0], str(tmp_path), *words[1:]])
+
+    (tmp_path / "docs").mkdir()
+    page = "### [one-claim] x\n\n```claim\nkind: requirement\nevaluator: test\n```\n"
+    (tmp_path / "docs" / "a.md").write_text(page)
+    (tmp_path / "src.rs").write_text("// @evidence: one-claim :: true\n")
+    for bad in ("genres: [", "genres: 3", "genres:\n  - kinds: []\n"):
+        (tmp_path / "genres.yaml").write_text(bad)
+        assert run("check") == 2
+    (tmp_path / "genres.yaml").write_text("genres:\n  - {path: 'docs/**', kinds: [requirement], quadrant: reference}\n")
+    assert run("check") == 0 and run("run", "no-claim") == 2
+    assert run("run", "one-claim") == 2 and run("run", "one-claim", "--execute") == 0
+    assert run("rename", "one-claim", "two-claim", "--write") == 2  # markers name it, and there is no repository
+    (tmp_path / "src.rs").unlink()
+    assert run("rename", "one-claim", "two-claim", "--write") == 2 and (tmp_path / "docs" / "a.md").read_text() == page
+    assert run("rename", "one-claim", "two-claim") == 0 and "1 edit(s) in 1 file(s)" in capsys.readouterr().out
+    (tmp_path / "docs" / "b.md").write_bytes(b"\xff\xfe")
+    assert run("check") == 2
