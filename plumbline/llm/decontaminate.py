@@ -6,8 +6,10 @@ document word inside an occurrence of a window is hit. Window hashes find candid
 hit counts only after its words agree.
 
 The windows are shipped to the executors in blocks of at most `block_bytes` of benchmark
-text, one scan a block, so what is broadcast stays bounded at any size of the benchmark;
-with one block (the usual case) there is no shuffle at all.
+text, one scan a block, so what is broadcast stays bounded at any size of the benchmark: a
+block's words and flat arrays of its windows. With one block (the usual case) there is no
+shuffle at all; with more, rows are numbered, those with hits meet by number, and texts stay
+where they are.
 
 Defined cases: null texts have no words; items without words have no windows; repeated
 items count by their item_id; null item_ids hit words but are not listed; an empty table on
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,6 @@ from . import common as C
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
 #: Non-word bytes become blanks, A-Z small; bytes of non-ASCII characters stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-MULTIPLY = 0x9E3779B97F4A7C15
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -38,53 +40,102 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
+def spaced(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of text with one blank between them, and their starts and ends in that."""
+    flat = b" ".join(words_of(text))
+    if not flat:
+        return flat, np.empty(0, np.int64), np.empty(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    return flat, np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(flat)]))
+
+
 class Windows:
-    """Windows of a block of items, by their number of words, sorted by hash."""
+    """Windows of a block of items, by their number of words, sorted by hash.
+
+    All is held in flat arrays: the words of the block, and 28 bytes a window and owner with
+    8 to 16 flags, so that the size is a small multiple of the block's text.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], size: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str | None]] = {}
+        owners: dict[str | None, int] = {}
+        texts, at, parts = [], 0, {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for p in range(max(1, len(ids) - size + 1) if ids else 0):
-                self.items.setdefault(tuple(ids[p : p + size]), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in self.items:
-            by_length.setdefault(len(w), []).append(w)
-        self.hashes = {n: np.unique(window_hashes(np.array(ws, np.uint64).reshape(-1), n)[::n]) for n, ws in sorted(by_length.items())}
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
-        """Which words are hit, and the items whose windows occur."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        hit, found = np.zeros(len(words), bool), set()
-        if not ids.any():
+            flat, starts, ends = spaced(text)
+            n = min(size, len(starts))
+            if not n:
+                continue
+            starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
+            owner = np.full(len(starts), owners.setdefault(item, len(owners)), np.int32)
+            parts.setdefault(n, []).append((substring_hashes(flat, starts, ends), starts + at, ends + at, owner))
+            texts.append(flat)
+            at += len(flat)
+        self.text, self.owners = b"".join(texts), list(owners)
+        self.by_length = {n: self._sorted(*map(np.concatenate, zip(*parts.pop(n)))) for n in sorted(parts)}
+
+    def _sorted(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
+        """The windows by hash and owner, those that an item repeats once, and flags of the hashes' first bits."""
+        order = np.lexsort((owner, hashes))
+        hashes, start, end, owner = hashes[order], start[order], end[order], owner[order]
+        keep = np.ones(len(hashes), bool)
+        for i in np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])).tolist():
+            keep[i + 1] = self.text[start[i] : end[i]] != self.text[start[i + 1] : end[i + 1]]
+        bits = max(8, int(keep.sum()).bit_length() + 3)
+        flags = np.zeros(1 << bits, bool)
+        flags[hashes >> np.uint64(64 - bits)] = True
+        return hashes[keep], start[keep], end[keep], owner[keep], flags, np.uint64(64 - bits)
+
+    def hits(self, text: bytes) -> tuple[np.ndarray, set[str | None]]:
+        """Which words of text are hit, and the items whose windows occur."""
+        flat, starts, ends = spaced(text)
+        hit, found = np.zeros(len(starts), bool), set()
+        if not self.by_length or not len(starts):
             return hit, found
-        for n, hashes in self.hashes.items():
-            if len(ids) < n:
+        sums = prefix_sums(flat)
+        for n, (hashes, start, end, owner, flags, shift) in self.by_length.items():
+            if len(starts) < n:
                 break
-            run = np.cumsum(np.concatenate(([0], ids == 0)))
-            known = np.flatnonzero(run[n:] == run[:-n])  # windows of benchmark words alone
-            if not len(known):
-                continue
-            h = window_hashes(ids, n)[known]
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            for p in known[hashes[at] == h].tolist():
-                items = self.items.get(tuple(ids[p : p + n].tolist()))
-                if items:
+            h = substring_hashes(flat, starts[: len(starts) - n + 1], ends[n - 1 :], sums)
+            places = np.flatnonzero(flags[h >> shift])
+            first, after = np.searchsorted(hashes, h[places], "left"), np.searchsorted(hashes, h[places], "right")
+            known: dict[int, bytes] = {}
+            for p, i, j in zip(places.tolist(), first.tolist(), after.tolist()):
+                words = flat[starts[p] : ends[p + n - 1]]
+                if i < j and known.get(i) != words:
+                    agree = [k for k in range(i, j) if self.text[start[k] : end[k]] == words]
+                    if not agree:
+                        continue
+                    found.update(self.owners[owner[k]] for k in agree)
+                    known[i] = words
+                if i < j:
                     hit[p : p + n] = True
-                    found |= items
         return hit, found
 
 
-def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    m = len(ids) - n + 1
-    h = np.zeros(max(m, 0), np.uint64)
-    for j in range(n):
-        h = (h + ids[j : j + m]) * np.uint64(MULTIPLY)
-        h ^= h >> np.uint64(31)
-    return h
+MULTIPLY = 0x9E3779B97F4A7C15
+#: Powers of MULTIPLY and of its inverse modulo 2**64, as many as the longest text so far has bytes.
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((MULTIPLY, pow(MULTIPLY, -1, 1 << 64))):
+            by = np.full(1 << n.bit_length(), base, np.uint64)
+            by[0] = 1
+            _powers[i] = np.cumprod(by)
+    return _powers
+
+
+def prefix_sums(flat: bytes) -> np.ndarray:
+    """Sums of GEAR[byte] * MULTIPLY**place over the first 0, 1, ... bytes."""
+    out = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(C.GEAR[np.frombuffer(flat, np.uint8)] * powers(len(flat) + 1)[0][: len(flat)], out=out[1:])
+    return out
+
+
+def substring_hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each flat[start:end] that depends on its bytes alone."""
+    sums = prefix_sums(flat) if sums is None else sums
+    return C.mixed((sums[ends] - sums[starts]) * powers(len(flat) + 1)[1][starts])
 
 
 def _table(ids, texts, hits, batch_type=pa.record_batch):
@@ -98,44 +149,66 @@ def _table(ids, texts, hits, batch_type=pa.record_batch):
     return batch_type({"doc_id": ids} | {k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds)} | ({"text": texts} if texts is not None else {}))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20, keep_text: bool = False) -> DataFrame:
-    """One row a document: its words, hit words, items, and spans of hit words (word offsets)."""
-    docs = C.id_text(docs)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+
+
+def block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    return max(1, -(-(_items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+
+
+def _scans(docs: DataFrame, benchmark: DataFrame, size: int, blocks: int, keep_text: bool = False) -> list[DataFrame]:
+    """One row a document for each block of the benchmark; docs has doc_id and text."""
+    items = _items(benchmark)
 
-    def scan(block: int, keep_text: bool) -> DataFrame:
+    def scan(block: int) -> DataFrame:
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        windows = docs.sparkSession.sparkContext.broadcast(Windows([(r.item_id, r.text.encode()) for r in part.collect()], size))
+        windows = docs.sparkSession.sparkContext.broadcast(Windows([(r.item_id, r.text.encode()) for r in part.toLocalIterator()], size))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = windows.value
             for batch in batches:
-                yield _table(batch.column(0), batch.column(1) if keep_text else None, [w.hits(words_of(t)) for t in C.texts_of(batch.column(1))])
+                yield _table(batch.column(0), batch.column(1) if keep_text else None, [w.hits(t) for t in C.texts_of(batch.column(1))])
 
         return docs.mapInArrow(run, RESULT + (", text string" if keep_text else ""))
 
-    if blocks == 1:
-        return scan(0, keep_text)
-    parts = scan(0, True)
-    for b in range(1, blocks):
-        parts = parts.unionByName(scan(b, True))
+    return [scan(b) for b in range(blocks)]
+
+
+def _merged(scans: list[DataFrame], keep_text: bool) -> DataFrame:
+    """The rows with hits, once a doc_id, which is unique: a group has at most one row a block."""
+    hits = [s.filter("n_hit > 0") for s in scans]
+    if len(hits) == 1:
+        return hits[0]
 
     def merge(table: pa.Table) -> pa.Table:
-        """Rows of one id and text, one a block and copy: the union of their spans and items, once a copy."""
         hit, found = np.zeros(table.column("n_words")[0].as_py(), bool), set()
         for spans, got in zip(table.column("spans").to_pylist(), table.column("items").to_pylist()):
             found |= set(got)
             for s in spans:
                 hit[s["start"] : s["end"]] = True
-        n = table.num_rows // blocks
-        return _table(table.column("doc_id")[:n], table.column("text")[:n], [(hit, found)] * n, pa.table)
+        return _table(table.column("doc_id")[:1], table.column("text")[:1] if keep_text else None, [(hit, found)], pa.table)
 
-    whole = parts.groupBy("doc_id", F.xxhash64("text")).applyInArrow(merge, RESULT + ", text string")
-    return whole if keep_text else whole.drop("text")
+    return reduce(DataFrame.unionByName, hits).groupBy("doc_id").applyInArrow(merge, RESULT + (", text string" if keep_text else ""))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, **options) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row a document: its words, hit words, items, and spans of hit words (word offsets)."""
+    docs = C.id_text(docs)
+    blocks = block_count(benchmark, block_bytes)
+    if blocks == 1:
+        return _scans(docs, benchmark, size, 1)[0]
+    rows = C.staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("_row").alias("doc_id"), "text")
+    names = [c.split()[0] for c in RESULT.split(", ")][1:]
+    hits = C.staged(_merged(_scans(numbered, benchmark, size, blocks), False).withColumnRenamed("doc_id", "_row"), "hits")
+    # what a row without hits has: a scan for no windows at all
+    blank = _scans(numbered, benchmark.limit(0), size, 1)[0].withColumnRenamed("doc_id", "_row")
+    both = blank.alias("b").join(hits.alias("h"), "_row", "left").join(rows.select("_row", "doc_id"), "_row")
+    return both.select("doc_id", *[F.when(F.col("h.n_hit").isNull(), F.col(f"b.{c}")).otherwise(F.col(f"h.{c}")).alias(c) for c in names])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """docs, hit words and what stands between them cut out of the texts, n_chars to match.
 
     Documents with more than `share` of their words hit go. Rows find their spans by a row
@@ -143,14 +216,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, **options)
     """
     rows = C.staged(docs.select(*C.carried(docs), F.monotonically_increasing_id().alias("_row")), "rows")
     text = F.col(f"`{C.CARRIED}text`")
-    found = find_contamination(rows.select(F.col("_row").alias("doc_id"), text.alias("text")), benchmark, keep_text=True, **options)
+    numbered = rows.select(F.col("_row").alias("doc_id"), text.cast("string").alias("text"))
+    found = _merged(_scans(numbered, benchmark, size, block_count(benchmark, block_bytes), True), True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut_words(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.record_batch({"_row": batch.column(0), "_text": pa.array(texts, pa.string()), "_gone": batch.column(3)})
 
-    hits = found.filter("n_hit > 0").select("doc_id", "text", "spans", (F.col("n_hit") > share * F.col("n_words")).alias("gone")).mapInArrow(cut, "_row long, _text string, _gone boolean")
+    hits = found.select("doc_id", "text", "spans", (F.col("n_hit") > share * F.col("n_words")).alias("gone")).mapInArrow(cut, "_row long, _text string, _gone boolean")
     return rows.join(C.staged(hits, "hits").hint("shuffle_hash"), "_row", "left").filter("_gone is null or not _gone").select(*C.given_back(docs.columns, F.coalesce("_text", text)))
 
 

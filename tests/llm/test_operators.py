@@ -395,13 +395,40 @@ def test_decontamination(spark, docs, rows, monkeypatch):
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got(decontaminate.find_contamination(docs, benchmark), *columns) == want
     assert got(decontaminate.find_contamination(docs, benchmark, block_bytes=300), *columns) == want  # several blocks
+    # repeated ids, and rows that are equal, in several blocks
+    twice = docs.select("doc_id", "text").unionByName(docs.select(F.lit(3).cast("long").alias("doc_id"), "text"))
+    one, many = (sorted(map(str, decontaminate.find_contamination(twice, benchmark, block_bytes=b).select("doc_id", *columns, "spans").collect())) for b in (1 << 20, 300))
+    assert one == many and len(one) == 2 * docs.count()
+    parts = decontaminate.clean(docs, benchmark, block_bytes=300)
     cleaned = decontaminate.clean(docs, benchmark)
+    assert sorted((r.doc_id, r.text or "") for r in parts.collect()) == sorted((r.doc_id, r.text or "") for r in cleaned.collect())
     left = {r.doc_id: r for r in cleaned.collect()}
     assert cleaned.columns == docs.columns
     assert set(left) == {i for i, w in want.items() if not w[1] > 0.5 * w[0]}
     assert all(left[i].text == t for i, t in rows if i in left and not want[i][1])
 
 
+def test_windows_in_flat_arrays():
+    """Windows that items share or repeat, against plain sets."""
+    rng = random.Random(16)
+    items = [(rng.choice(["a", "b", None, "c"]), " ".join(rng.choice("xyz") for _ in range(rng.randint(0, 9))).encode()) for _ in range(60)]
+    sets = {}
+    for item, t in items:
+        w = t.split()
+        for p in range(max(1, len(w) - 3) if w else 0):
+            sets.setdefault(tuple(w[p : p + 4]), set()).add(item)
+    windows = decontaminate.Windows(items, 4)
+    for _ in range(200):
+        words = [rng.choice([b"x", b"y", b"z", b"q"]) for _ in range(rng.randint(0, 30))]
+        hit, found = [False] * len(words), set()
+        for w, ids in sets.items():
+            for p in range(len(words) - len(w) + 1):
+                if tuple(words[p : p + len(w)]) == w:
+                    hit[p : p + len(w)], found = [True] * len(w), found | ids
+        got_hit, got_found = windows.hits(b" ".join(words))
+        assert got_hit.tolist() == hit and got_found == found
+
+
 def test_toxicity_finds_held_out_rows(spark):
     rng = random.Random(8)
     rows = [(i, text(rng, 40) + (" vile scum " if i % 6 == 0 else " ") + text(rng, 20), int(i % 6 == 0)) for i in range(600)]
