@@ -90,11 +90,10 @@ class Windows:
         hit, found = np.zeros(len(starts), bool), set()
         if not self.by_length or not len(starts):
             return hit, found
-        sums = prefix_sums(flat)
         for n, (hashes, start, end, owner, flags, shift) in self.by_length.items():
             if len(starts) < n:
                 break
-            h = substring_hashes(flat, starts[: len(starts) - n + 1], ends[n - 1 :], sums)
+            h = substring_hashes(flat, starts[: len(starts) - n + 1], ends[n - 1 :])
             places = np.flatnonzero(flags[h >> shift])
             first, after = np.searchsorted(hashes, h[places], "left"), np.searchsorted(hashes, h[places], "right")
             known: dict[int, bytes] = {}
@@ -112,30 +111,38 @@ class Windows:
 
 
 MULTIPLY = 0x9E3779B97F4A7C15
-#: Powers of MULTIPLY and of its inverse modulo 2**64, as many as the longest text so far has bytes.
+#: Windows hashed at a time, so that a very long text needs no arrays of its length for it.
+AT_ONCE = 1 << 14
+#: Powers of MULTIPLY and of its inverse modulo 2**64, kept for texts of usual length.
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((MULTIPLY, pow(MULTIPLY, -1, 1 << 64))):
-            by = np.full(1 << n.bit_length(), base, np.uint64)
-            by[0] = 1
-            _powers[i] = np.cumprod(by)
-    return _powers
-
-
-def prefix_sums(flat: bytes) -> np.ndarray:
-    """Sums of GEAR[byte] * MULTIPLY**place over the first 0, 1, ... bytes."""
-    out = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(C.GEAR[np.frombuffer(flat, np.uint8)] * powers(len(flat) + 1)[0][: len(flat)], out=out[1:])
+    """The first n powers or more."""
+    if len(_powers[0]) >= n:
+        return _powers
+    out = []
+    for base in (MULTIPLY, pow(MULTIPLY, -1, 1 << 64)):
+        by = np.full(1 << n.bit_length(), base, np.uint64)
+        by[0] = 1
+        out.append(np.cumprod(by))
+    if n <= 1 << 18:
+        _powers[:] = out
     return out
 
 
-def substring_hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """A hash of each flat[start:end] that depends on its bytes alone."""
-    sums = prefix_sums(flat) if sums is None else sums
-    return C.mixed((sums[ends] - sums[starts]) * powers(len(flat) + 1)[1][starts])
+def substring_hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each flat[start:end] that depends on its bytes alone; starts and ends ascend."""
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), AT_ONCE):
+        part = slice(i, i + AT_ONCE)
+        base = starts[i]
+        text = np.frombuffer(flat[base : ends[part][-1]], np.uint8)
+        up, down = powers(len(text) + 1)
+        sums = np.zeros(len(text) + 1, np.uint64)  # of GEAR[byte] * MULTIPLY**place over the first bytes
+        np.cumsum(C.GEAR[text] * up[: len(text)], out=sums[1:])
+        out[part] = C.mixed((sums[ends[part] - base] - sums[starts[part] - base]) * down[starts[part] - base])
+    return out
 
 
 def _table(ids, texts, hits, batch_type=pa.record_batch):
