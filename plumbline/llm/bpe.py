@@ -227,4 +227,4 @@ def encode_documents(docs: DataFrame, path: str, texts: bool = False) -> DataFra
                 yield pa.record_batch(cols | ({"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())} if texts else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
-    return C.id_text(docs).mapInArrow(run, schema)
+    return C.id_text(docs).mapInArrow(C.lean_map(run), schema)

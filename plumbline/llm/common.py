@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import time
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -144,3 +149,50 @@ def shared_keys(table: pa.Table) -> pa.Table:
         if len(told):
             out.append((g, pack48(told)))
     return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
+
+
+_given_back_at = [0.0]
+
+
+def give_back(pause: float = 0.2) -> None:
+    """Returns freed memory to the system, at most once a `pause`: idle Python workers outlive their stage by a minute, beside the next one's."""
+    if time.monotonic() - _given_back_at[0] < pause:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+    _given_back_at[0] = time.monotonic()
+
+
+def lean(f: Callable) -> Callable:
+    """f of a table, or of two, that gives back freed memory at its end."""
+    if f.__code__.co_argcount == 1:
+
+        @functools.wraps(f)
+        def one(table):
+            out = f(table)
+            give_back()
+            return out
+
+        return one
+
+    @functools.wraps(f)
+    def two(left, right):
+        out = f(left, right)
+        give_back()
+        return out
+
+    return two
+
+
+def lean_map(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f of batches that gives back freed memory at the end of its partition."""
+
+    @functools.wraps(f)
+    def batches_of(batches):
+        yield from f(batches)
+        give_back(0)
+
+    return batches_of

@@ -177,7 +177,7 @@ def _scans(docs: DataFrame, benchmark: DataFrame, size: int, blocks: int, keep_t
             for batch in batches:
                 yield _table(batch.column(0), batch.column(1) if keep_text else None, [w.hits(t) for t in C.texts_of(batch.column(1))])
 
-        return docs.mapInArrow(run, RESULT + (", text string" if keep_text else ""))
+        return docs.mapInArrow(C.lean_map(run), RESULT + (", text string" if keep_text else ""))
 
     return [scan(b) for b in range(blocks)]
 
@@ -196,7 +196,7 @@ def _merged(scans: list[DataFrame], keep_text: bool) -> DataFrame:
                 hit[s["start"] : s["end"]] = True
         return _table(table.column("doc_id")[:1], table.column("text")[:1] if keep_text else None, [(hit, found)], pa.table)
 
-    return reduce(DataFrame.unionByName, hits).groupBy("doc_id").applyInArrow(merge, RESULT + (", text string" if keep_text else ""))
+    return reduce(DataFrame.unionByName, hits).groupBy("doc_id").applyInArrow(C.lean(merge), RESULT + (", text string" if keep_text else ""))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
@@ -231,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, size: int =
             texts = [cut_words(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.record_batch({"_row": batch.column(0), "_text": pa.array(texts, pa.string()), "_gone": batch.column(3)})
 
-    hits = found.select("doc_id", "text", "spans", (F.col("n_hit") > share * F.col("n_words")).alias("gone")).mapInArrow(cut, "_row long, _text string, _gone boolean")
+    hits = found.select("doc_id", "text", "spans", (F.col("n_hit") > share * F.col("n_words")).alias("gone")).mapInArrow(C.lean_map(cut), "_row long, _text string, _gone boolean")
     return rows.join(C.staged(hits, "hits").hint("shuffle_hash"), "_row", "left").filter("_gone is null or not _gone").select(*C.given_back(docs.columns, F.coalesce("_text", text)))
 
 

@@ -220,9 +220,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, groups: int, k: int, per
             keys.append(C.pack48(h) if len(h) and shared >= lists_needed(least_overlap(len(h), percent)) else None)
         return pa.table({"node": pa.array([i for i, _ in rows], pa.int64()), "n": pa.array([len(h) for _, h in rows], pa.int64()), "keys": pa.array(keys, pa.binary())})
 
-    asked = by.cogroup(named.groupBy("g")).applyInArrow(ask, "bucket int, g int, payload binary")
-    told = asked.groupBy("bucket").applyInArrow(C.shared_keys, "g int, payload binary").select("g", F.lit(False).alias("named"), "payload")
-    return by.cogroup(told.unionByName(named).groupBy("g")).applyInArrow(keep, "node long, n long, keys binary")
+    asked = by.cogroup(named.groupBy("g")).applyInArrow(C.lean(ask), "bucket int, g int, payload binary")
+    told = asked.groupBy("bucket").applyInArrow(C.lean(C.shared_keys), "g int, payload binary").select("g", F.lit(False).alias("named"), "payload")
+    return by.cogroup(told.unionByName(named).groupBy("g")).applyInArrow(C.lean(keep), "node long, n long, keys binary")
 
 
 def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
@@ -276,8 +276,8 @@ def counted_sets(sets: DataFrame, groups: int, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    told = by.applyInArrow(ask, "bucket int, g int, payload binary").groupBy("bucket").applyInArrow(answer, "g int, payload binary")
-    return by.cogroup(told.groupBy("g")).applyInArrow(keep, "node long, n long, keys binary, lists array<long>")
+    told = by.applyInArrow(C.lean(ask), "bucket int, g int, payload binary").groupBy("bucket").applyInArrow(C.lean(answer), "g int, payload binary")
+    return by.cogroup(told.groupBy("g")).applyInArrow(C.lean(keep), "node long, n long, keys binary, lists array<long>")
 
 
 #: A key with more than one row in SHARE is hot: it is dealt apart from the others.
@@ -306,7 +306,7 @@ def searched(cells: DataFrame, sets: DataFrame, percent: int, groups: int) -> Da
 
     # as many tasks as the text has groups: the search takes time, not bytes, and must not be coalesced by size
     once = cells.groupBy("label", "i", "j", "node").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
-    return once.join(sets.select("node", "n", "keys"), "node").repartition(groups, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(linked, "u long, v long")
+    return once.join(sets.select("node", "n", "keys"), "node").repartition(groups, "label", "i", "j").groupBy("label", "i", "j").applyInArrow(C.lean(linked), "u long, v long")
 
 
 def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int, groups: int, block: int, leaders: int) -> DataFrame:
