@@ -18,6 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def deep_shallow_sort(text: bytes, starts: np.ndarray, width: int = WIDTH, shallow: int = 16, small: int = 48) -> list[list[int]]:
+def deep_shallow_sort(text: bytes, starts: np.ndarray, width: int = WIDTH, shallow: int = 16, small: int = 128) -> list[list[int]]:
     """The suffixes text[s:s+width] in order, as groups of indices into starts whose suffixes are equal.
 
     Multikey quicksort on words of 8 bytes, three-way about a median, down to `shallow`
@@ -92,46 +93,37 @@ def deep_shallow_sort(text: bytes, starts: np.ndarray, width: int = WIDTH, shall
     if not len(starts):
         return []
     assert shallow % 8 == 0 and shallow <= width
-    data = np.frombuffer(text + bytes(8), np.uint8)
+    # the word of 8 bytes at every place, without a copy
+    word = np.ndarray(len(text) + 1, ">u8", text + bytes(8), strides=(1,))
     out: list[list[int]] = []
 
-    def deep(members: list[int]) -> None:
-        if len(members) == 1:
+    def deep(members: list[int], at: list[int]) -> None:
+        first = text[at[0] + shallow : at[0] + width]
+        if len(at) == 1 or all(text[s + shallow : s + width] == first for s in at):  # nothing branches
             out.append(members)
             return
-        s = int(starts[members[0]])
-        trie = BlindTrie(text[s + shallow : s + width], members[0])
-        for m in members[1:]:
-            s = int(starts[m])
+        trie = BlindTrie(first, members[0])
+        for m, s in zip(members[1:], at[1:]):
             trie.insert(text[s + shallow : s + width], m)
         out.extend(trie.groups())
 
-    def words(segment: np.ndarray, depth: int) -> np.ndarray:
-        w = np.zeros(len(segment), np.uint64)
-        at = starts[segment] + depth
-        for j in range(8):
-            w = (w << np.uint64(8)) | data[at + j]
-        return w
-
     stack = [(np.arange(len(starts)), 0)]
     while stack:
         segment, depth = stack.pop()
         if not len(segment):
             continue
         if depth >= shallow:
-            deep(segment.tolist())
+            deep(segment.tolist(), starts[segment].tolist())
         elif len(segment) <= small:
-            keyed = sorted((text[s + depth : s + shallow], i) for i, s in zip(segment.tolist(), starts[segment].tolist()))
-            last, members = None, []
-            for key, i in keyed:
-                if key != last and members:
-                    deep(members)
-                    members = []
-                last = key
+            equal: dict[bytes, tuple[list[int], list[int]]] = {}
+            for i, s in zip(segment.tolist(), starts[segment].tolist()):
+                members, at = equal.setdefault(text[s + depth : s + shallow], ([], []))
                 members.append(i)
-            deep(members)
+                at.append(s)
+            for key in sorted(equal):
+                deep(*equal[key])
         else:
-            w = words(segment, depth)
+            w = word[starts[segment] + depth].astype(np.uint64)
             pivot = np.partition(w, len(w) // 2)[len(w) // 2]
             less, more = w < pivot, w > pivot
             stack += [(segment[more], depth), (segment[~(less | more)], depth + 8), (segment[less], depth)]
@@ -195,10 +187,11 @@ def first_holders(keys: np.ndarray, contexts: list[bytes], docs: np.ndarray) ->
         at = np.repeat(begins[:-1][mixed], n) + offset
         held = best[at]
         starts = np.repeat(np.cumsum(sizes[mixed]) - sizes[mixed], n) + offset
-        for members in deep_shallow_sort(text, starts):
-            if len(members) > 1:
-                at_members = at[members]
-                best[at_members] = held[members].min()
+        equal = [members for members in deep_shallow_sort(text, starts) if len(members) > 1]
+        if equal:
+            many = np.fromiter(map(len, equal), np.int64, len(equal))
+            flat = np.fromiter(itertools.chain.from_iterable(equal), np.int64, many.sum())
+            best[at[flat]] = np.repeat(np.minimum.reduceat(held[flat], np.cumsum(many) - many), many)
     return best, begins
 
 
